@@ -22,7 +22,6 @@ from wordloom.llm._store import Workspace
 
 SAMPLE_ROWS = 1000
 
-_W = r"regexp_extract_all({t}, '[^\\x09-\\x0D\\x20]+', 0)"
 #: Insults; a document with this many different ones is rejected.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 MIN_INSULTS = 3
@@ -46,7 +45,6 @@ def _share(name: str, count_spark: str, count_duck: str, of_spark: str, of_duck:
 _CHARS = ("length(text)", "length(text)")
 _WORDS = (r"regexp_count(text, '[^\\x09-\\x0D\\x20]+')", r"len(regexp_extract_all(text, '[^\x09-\x0D\x20]+'))")
 _LINES = (r"(length(text) - length(replace(text, '\n', '')) + 1)", "(length(text) - length(replace(text, chr(10), '')) + 1)")
-_WORD = "[^\\x09-\\x0D\\x20]+"
 _SYMBOLS = "#$%&*|{}<>=@^~_"
 
 RULES: tuple[Rule, ...] = (
@@ -56,12 +54,11 @@ RULES: tuple[Rule, ...] = (
     _share("long words", _CHARS[0], _CHARS[1], *_WORDS, "> 25 * {n}", "{n} >= 20"),
     _share("marks", r"regexp_count(text, '[!?]')", r"len(regexp_extract_all(text, '[!?]'))", *_WORDS, "> 0.3 * {n}", "{n} >= 20"),
     _share("few different words", r"size(array_distinct(regexp_extract_all(lower(text), '[^\\x09-\\x0D\\x20]+', 0)))", r"len(list_distinct(regexp_extract_all(lower(text), '[^\x09-\x0D\x20]+')))", *_WORDS, "< 0.2 * {n}", "{n} BETWEEN 50 AND 1000"),
-    _share("stutter", r"regexp_count(text, '(?<![^\\x09-\\x0D\\x20])([^\\x09-\\x0D\\x20]+) (?=\\1(?![^\\x09-\\x0D\\x20]))')", r"""len(list_filter(range(1, len(string_split(text, ' '))), lambda i: string_split(text, ' ')[i] = string_split(text, ' ')[i + 1] AND string_split(text, ' ')[i] <> ''))""", *_WORDS, "> 0.3 * {n}", "{n} >= 20"),
     _share("repeated lines", r"size(array_distinct(split(text, '\n', -1)))", "len(list_distinct(string_split(text, chr(10))))", *_LINES, "< 0.4 * {n}", "{n} >= 5"),
     Rule(
         "insults",
-        " + ".join(rf"cast(lower(text) RLIKE '\\b{w}\\b' AS int)" for w in INSULTS) + f" >= {MIN_INSULTS}",
-        " + ".join(rf"cast(regexp_matches(lower(text), '\b{w}\b') AS int)" for w in INSULTS) + f" >= {MIN_INSULTS}",
+        rf"size(array_distinct(regexp_extract_all(lower(text), '\\b({'|'.join(INSULTS)})\\b', 1))) >= {MIN_INSULTS}",
+        rf"len(list_distinct(regexp_extract_all(lower(text), '\b({'|'.join(INSULTS)})\b', 1))) >= {MIN_INSULTS}",
     ),
 )
 
