@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from wordloom.llm import line_dedup, minhash, quality_rules, sharding, suffix_dedup
+from wordloom.llm import line_dedup, minhash, quality_rules, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_url_filter": url_filter.op2,
+    "op4_topk_search": topk_search.op4,
     "op5_quality_rules": quality_rules.op5,
     "op6_line_dedup": line_dedup.op6,
     "op8_minhash": minhash.op8,
@@ -14,6 +16,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
+    "op4_topk_search": topk_search.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op10_sharding": sharding.ORACLE,
