@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wordloom.llm import bpe, line_dedup, minhash, quality_rules, sharding, suffix_dedup, topk_search, url_filter
+from wordloom.llm import bpe, language_id, line_dedup, minhash, quality_rules, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
     "op2_url_filter": url_filter.op2,
+    "op3_language_id": language_id.op3,
     "op4_topk_search": topk_search.op4,
     "op5_quality_rules": quality_rules.op5,
     "op6_line_dedup": line_dedup.op6,
