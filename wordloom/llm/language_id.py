@@ -31,7 +31,7 @@ TRAIN_FILES = 8
 BUCKETS = 1 << 16
 DIM = 16
 PRECISION = 0.99
-SPARE = 0.002
+SPARE = 0.005
 _ORDERS = (2, 3, 4)
 
 
