@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import bpe, language_id, line_dedup, minhash, quality_rules, sharding, suffix_dedup, topk_search, url_filter
+from wordloom.llm import bpe, language_id, line_dedup, minhash, packing, quality_rules, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_topk_search": topk_search.op4,
     "op5_quality_rules": quality_rules.op5,
     "op6_line_dedup": line_dedup.op6,
+    "op7_packing": packing.op7,
     "op8_minhash": minhash.op8,
     "op9_bpe": bpe.op9,
     "op10_sharding": sharding.op10,
