@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm._store import Workspace
@@ -250,9 +250,9 @@ def near_duplicates(
     size = 2 * slots // bands
     unique = first.select(F.col("keep").alias("doc_id"), "signature")
     band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("signature", i * size + 1, size)) for i in range(bands)))).alias("bucket")
-    keys = unique.select("doc_id", band)
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = unique.select(band, "doc_id", "signature").join(shared, "bucket", "left_semi")
+    # only (bucket, id) is shuffled for all; signatures travel for buckets of several documents
+    shared = unique.select(band, "doc_id").withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "doc_id")
+    rows = shared.join(unique, "doc_id").select("bucket", "doc_id", "signature")
     found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_run(threshold), "a long, b long")
     edges = work.save(same.unionByName(found).where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
     return components(spark, edges, work)
