@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 COMPOUND = r"[\p{L}\p{N}_]+(?:['\-][\p{L}\p{N}_]+)*"
@@ -38,7 +39,7 @@ def strip_non_alphanum(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}_]", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

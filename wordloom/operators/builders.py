@@ -84,7 +84,8 @@ def lint(rows: DataFrame, kind: str) -> DataFrame:
         single = single & single_token(F.col(w))
     key: list[Column] = [F.least(*low), F.greatest(*low)] if kind == "ws" else low
     repeated = F.row_number().over(Window.partitionBy("name", *key).orderBy("line")) > 1
-    tests = [F.when(~single, "multitoken"), F.when(repeated, "duplicate")]
+    rows = rows.withColumn("__repeated", repeated)
+    tests = [F.when(~single, "multitoken"), F.when(F.col("__repeated"), "duplicate")]
     if kind == "ws":
         score = F.expr("try_cast(score AS double)")
         tests += [F.when(low[0] == low[1], "self_pair"), F.when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), "score")]

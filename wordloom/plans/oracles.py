@@ -55,9 +55,10 @@ def pairs(window: int, mode: str | None = "deter", rate: float = 0.25, seed: int
     """raw(w, c, n)."""
     right = f"nxt AS (SELECT a.doc_id, a.p, b.p AS q, a.id AS w, b.id AS c, d FROM kept a, range(1, {window + 1}) t(d), kept b WHERE b.doc_id = a.doc_id AND b.p = a.p + d AND a.id IS NOT NULL AND b.id IS NOT NULL)"
     if mode == "prob":
-        radius = f"1 + {duck_draw(seed, 'rad', 'doc_id', '{}')} % {window}"
-        both = f"both_ AS (SELECT w, c FROM nxt WHERE d <= {radius.format('p')} UNION ALL SELECT c, w FROM nxt WHERE d <= {radius.format('q')})"
-        return f"{right}, {both}, raw AS (SELECT w, c, count(*)::DOUBLE AS n FROM both_ GROUP BY w, c)"
+        radius = f"1 + {duck_draw(seed, 'rad', 'doc_id', 'p')} % {window}"
+        near = f"kr AS MATERIALIZED (SELECT doc_id, p, id, {radius} AS r FROM kept), nr AS MATERIALIZED (SELECT a.id AS w, b.id AS c, d, a.r AS ra, b.r AS rb FROM (SELECT *, unnest(range(1, {window + 1})) AS d FROM kr) a JOIN kr b ON b.doc_id = a.doc_id AND b.p = a.p + d)"
+        both = "both_ AS (SELECT w, c FROM nr WHERE d <= ra UNION ALL SELECT c, w FROM nr WHERE d <= rb)"
+        return f"{near}, {both}, raw AS (SELECT w, c, count(*)::DOUBLE AS n FROM both_ WHERE w IS NOT NULL AND c IS NOT NULL GROUP BY w, c)"
     weight = {"deter": lambda d: (window + 1 - d) / window, "decay": lambda d: math.exp(-rate * (d - 1))}.get(mode or "", lambda d: 1.0)
     total = " + ".join(f"count(*) FILTER (WHERE d = {d}) * {weight(d)!r}::DOUBLE" for d in range(1, window + 1))
     both = "both_ AS (SELECT w, c, d FROM nxt UNION ALL SELECT c, w, d FROM nxt)"

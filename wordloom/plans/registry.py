@@ -201,7 +201,7 @@ def _pair_sparsity(spark, sf_dir):
 
 @_query(
     "pairs_baskets",
-    "WITH ids AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey AS id FROM lineitem), size AS (SELECT max(p_partkey) + 1 AS v FROM part), " + O.slots() + ", " + O.pairs(2) + " SELECT w::INT AS w, c::INT AS c, round(n, 6) AS n FROM raw",
+    "WITH ids AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey AS id FROM lineitem), size AS (SELECT max(p_partkey) + 1 AS v FROM part), " + O.slots().replace("ORDER BY pos", "ORDER BY pos, id") + ", " + O.pairs(2) + " SELECT w::INT AS w, c::INT AS c, round(n, 6) AS n FROM raw",
 )
 def _pairs_baskets(spark, sf_dir):
     """Parts that stand near each other in an order: any table of sequences is a corpus."""
@@ -627,7 +627,7 @@ def _single(word: str) -> str:
     known AS (SELECT t AS x, s AS y FROM g UNION SELECT s, t FROM g UNION SELECT t, t FROM g),
     o AS (SELECT g.*, pool.k, pool.word, row_number() OVER (PARTITION BY line ORDER BY {O.duck_draw(0, 'distractor', 't', 's', 'pool.k')}, pool.k) AS r
       FROM g, pool WHERE t <> s AND {_single('term')} AND {_single('synonym')} AND NOT EXISTS (SELECT 1 FROM known WHERE x = t AND y = pool.k)),
-    q AS (SELECT line, t, s, term, synonym, list(word ORDER BY r) AS d, list_sort(list_concat([s], list(k ORDER BY r))) AS ks FROM o WHERE r <= 3 GROUP BY ALL HAVING count(*) = 3),
+    q AS (SELECT line, t, s, term, synonym, list(word ORDER BY r) AS d, list_sort(list_concat([s], list(k ORDER BY r))) AS ks FROM o WHERE r <= 3 GROUP BY line, t, s, term, synonym HAVING count(*) = 3),
     u AS (SELECT *, row_number() OVER (PARTITION BY t, ks ORDER BY line) AS n FROM q)
     SELECT line, term AS target, synonym AS answer, d[1] AS d1, d[2] AS d2, d[3] AS d3 FROM u WHERE n = 1""",
 )
