@@ -109,8 +109,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buckets: i
     """The model of these bags; a quarter of them, at least one, is held out for calibration. The same input gives the same model."""
     pairs = [(b, c / c.sum(), y) for (b, c), y in zip(bags, labels) if len(b)]
     languages = tuple(sorted({y for _, _, y in pairs}))
-    if not languages:
-        raise ValueError("no labelled text with a word")
+    if not languages:  # nothing to learn from: everything will be rejected
+        return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(pairs))
     held, rest = order[: max(1, len(order) // 4)], order[max(1, len(order) // 4) :]
@@ -172,6 +172,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS,
 def predict(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the likeliest language, its confidence, whether the text has words) of each text."""
     n, c = len(offsets) - 1, len(model.languages)
+    if not c:
+        return np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
     words = Words(data, offsets, lower=True)
     form, owner, bucket = word_buckets(words, len(model.table))
     forms = int(form.max(initial=-1)) + 1
@@ -191,7 +193,8 @@ NEW = ("predicted", "confidence", "accepted")
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs without `text`, with predicted (the language or null where rejected), confidence and accepted; all rows are kept.
 
-    Null texts and texts without words are rejected with confidence 0. Whole texts are read.
+    Null texts and texts without words are rejected with confidence 0, and so is everything if no
+    labelled text was there to learn from. Whole texts are read.
     Other columns stay; earlier ones of the new names are replaced.
     """
     rest = [F.col("`" + x.replace("`", "``") + "`") for x in docs.columns if x.lower() not in ("text", *NEW)]
@@ -200,7 +203,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array(m.languages, dtype=object)
+        names = np.array(m.languages or (None,), dtype=object)
         for batch in chunks(batches, "__wl_text"):
             best, confidence, has = predict(*text_buffers(batch.column(0)), m)
             confidence = np.where(has, np.round(confidence, 4), 0.0)
