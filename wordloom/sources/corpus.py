@@ -26,7 +26,7 @@ def split_newlines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def from_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """One document a line of one file, numbered in file order; `limit` keeps the first ones."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.lit(0).alias("doc_id"), F.col("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(F.lit(0).alias("doc_id"), F.col("value").alias("text"))
     lines = split_lines(whole).select(F.col("line_no").cast("long").alias("doc_id"), "text")
     return lines if limit is None else lines.where(F.col("doc_id") < limit)
 
@@ -49,7 +49,7 @@ def from_text_files(spark: SparkSession, base_dir: str, view_fraction: float = 1
 
     in_vocab says whether the file counts for the vocabulary; see sample_files.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(base_dir)
+    files = spark.read.text(base_dir, wholetext=True, pathGlobFilter="*.txt")
     named = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
     lines = named.select("file", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     return lines.withColumn("in_vocab", sample_files("file", view_fraction, seed, portable))
