@@ -101,7 +101,9 @@ def search_cell(qid: np.ndarray, q: np.ndarray, cutoff: np.ndarray, ids: np.ndar
             at = p >= threshold
             taken |= at
             known += np.where(at, p, np.maximum(threshold, 0))  # a block below the threshold adds less than it
-        taken &= known >= need[:, None].astype(np.float32)
+        least = need[:, None].astype(np.float32)
+        taken &= known >= least
+        taken &= sum(scores[1:], scores[0]) >= least  # the other blocks' scores of what was taken, in single precision first
         a, b = np.nonzero(taken)
         other = qid[s + a] != ids[b]
         a, b = a[other], b[other]
