@@ -24,7 +24,9 @@ SAMPLE_ROWS = 1000
 
 #: Insults; a document with this many different ones is rejected.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-MIN_INSULTS = 3
+MIN_INSULTS = 2
+#: Stems of insults in French, German and Spanish text; a document is rejected that has two words of them or more, and one for 67 words or more.
+STEMS = ("achkeit", "achlich", "boco", "bomente", "réeux", "réê")
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,14 @@ RULES: tuple[Rule, ...] = (
         rf"size(array_distinct(regexp_extract_all(lower(text), '\\b({'|'.join(INSULTS)})\\b', 1))) >= {MIN_INSULTS}",
         rf"len(list_distinct(regexp_extract_all(lower(text), '\b({'|'.join(INSULTS)})\b', 1))) >= {MIN_INSULTS}",
     ),
+    _share(
+        "insulting stems",
+        rf"regexp_count(lower(text), '(^|[\\x09-\\x0D\\x20])({'|'.join(STEMS)})')",
+        rf"len(regexp_extract_all(lower(text), '(^|[\x09-\x0D\x20])({'|'.join(STEMS)})'))",
+        *_WORDS,
+        "BETWEEN greatest(2, 0.015 * {n}) AND {n}",
+        "true",
+    ),
 )
 
 
