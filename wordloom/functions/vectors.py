@@ -32,8 +32,9 @@ def scale(a: Column, by: Column) -> Column:
 
 
 def unit(a: Column, length: Column) -> Column:
-    """a / length; a zero vector stays as it is."""
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    """a / length; a zero vector stays as it is. The length is bound to a variable, else it would be computed for every element."""
+    scaled = F.transform(F.array(length), lambda n: F.transform(a, lambda x: x / n))[0]
+    return F.when(length > 0, scaled).otherwise(a)
 
 
 def add(a: Column, b: Column) -> Column:
