@@ -160,9 +160,15 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buckets: i
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS, **options) -> Model:
-    """A model of the labelled rows (text, lang) with the lowest hashes, `train_rows` at most; rows without text or language don't count."""
+    """A model of the labelled rows (text, lang) with the lowest hashes, `train_rows` at most; rows without text or language don't count.
+
+    Copies share their hash, so that a table of few different texts may give fewer rows.
+    """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     keyed = rows.withColumn("__wl_h", F.xxhash64("text", "lang"))
+    count = docs.where("lang IS NOT NULL").count()
+    if count > 2 * train_rows:  # only low hashes are sorted; twice the bound is expected below this one
+        keyed = keyed.where(F.col("__wl_h") < int(2**64 * 2 * train_rows / count) - 2**63)
     chosen = keyed.orderBy("__wl_h", "lang", "text").limit(train_rows).repartition(8, "__wl_h").select("lang", "text")
     found = chosen.mapInArrow(_emit_bags(buckets), "lang string, bucket binary, count binary").toArrow().to_pydict()
     bags = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(c, np.float32)) for b, c in zip(found["bucket"], found["count"])]
