@@ -162,6 +162,19 @@ def test_quality_rules_by_definition(spark):
     assert set.intersection(*one) == {0, len(bad) + 1}
 
 
+def test_few_different_words_at_any_length(spark):
+    import duckdb
+
+    rule = next(r for r in quality_rules.RULES if r.name == "few different words")
+    r = random.Random(3)
+    prose = words(r, 30_000, 3000)  # a tenth of its words are different, most of those of any block are
+    texts = ["word " * 49, "word " * 50, "word " * 1000, "word " * 1001, "word " * 60_000, "a b c d e f g h " * 300, prose, words(r, 1000, 3000), "", None]
+    got = [x.x for x in docs(spark, texts).orderBy("doc_id").selectExpr(f"{rule.spark} AS x").collect()]
+    assert got == [False, True, True, True, True, True, False, False, False, False]
+    assert [duckdb.execute(f"SELECT {rule.duck} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchone()[0] for t in texts] == got
+    assert [x.doc_id for x in quality_rules.keep_quality(docs(spark, texts)).orderBy("doc_id").collect()] == [0, 6, 7]
+
+
 def test_quality_order():
     rules = quality_rules.RULES[:3]
     measured = [{"name": r.name, "cost": c, "gain": g} for r, c, g in zip(rules, (3, 1, 2), (1.0, 5.0, 5.0))]

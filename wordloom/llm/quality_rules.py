@@ -47,6 +47,12 @@ def _share(name: str, count_spark: str, count_duck: str, of_spark: str, of_duck:
 _CHARS = ("length(text)", "length(text)")
 _WORDS = (r"regexp_count(text, '[^\\x09-\\x0D\\x20]+')", r"len(regexp_extract_all(text, '[^\x09-\x0D\x20]+'))")
 _LINES = (r"(length(text) - length(replace(text, '\n', '')) + 1)", "(length(text) - length(replace(text, chr(10), '')) + 1)")
+#: Different words, counted in each block of BLOCK words and added up: of a text of a word repeated they are few at any length, of plain prose they grow with it.
+BLOCK = 1000
+_DIFFERENT = (
+    rf"transform(array(regexp_extract_all(lower(text), '[^\\x09-\\x0D\\x20]+', 0)), w -> aggregate(sequence(0, greatest(size(w) - 1, 0), {BLOCK}), 0, (a, i) -> a + size(array_distinct(slice(w, i + 1, {BLOCK})))))[0]",
+    rf"[list_sum([len(list_distinct(w[i + 1 : i + {BLOCK}])) for i in range(0, len(w), {BLOCK})]) for w in [regexp_extract_all(lower(text), '[^\x09-\x0D\x20]+')]][1]",
+)
 _SYMBOLS = "#$%&*|{}<>=@^~_"
 
 RULES: tuple[Rule, ...] = (
@@ -55,7 +61,7 @@ RULES: tuple[Rule, ...] = (
     _share("shouting", r"regexp_count(text, '[A-Z]')", r"len(regexp_extract_all(text, '[A-Z]'))", r"regexp_count(text, '[A-Za-z]')", r"len(regexp_extract_all(text, '[A-Za-z]'))", "> 0.6 * {n}", "{n} >= 40"),
     _share("long words", _CHARS[0], _CHARS[1], *_WORDS, "> 25 * {n}", "{n} >= 20"),
     _share("marks", r"regexp_count(text, '[!?]')", r"len(regexp_extract_all(text, '[!?]'))", *_WORDS, "> 0.3 * {n}", "{n} >= 20"),
-    _share("few different words", r"size(array_distinct(regexp_extract_all(lower(text), '[^\\x09-\\x0D\\x20]+', 0)))", r"len(list_distinct(regexp_extract_all(lower(text), '[^\x09-\x0D\x20]+')))", *_WORDS, "< 0.2 * {n}", "{n} BETWEEN 50 AND 1000"),
+    _share("few different words", *_DIFFERENT, *_WORDS, "< 0.2 * {n}", "{n} >= 50"),
     _share("repeated lines", r"size(array_distinct(split(text, '\n', -1)))", "len(list_distinct(string_split(text, chr(10))))", *_LINES, "< 0.4 * {n}", "{n} >= 5"),
     Rule(
         "insults",
