@@ -60,3 +60,19 @@ def test_add_and_mul_differ(spark, dense):
         assert others[0] == best
     with pytest.raises(ValueError):
         search.most_similar_vectors(table, asked, 5, "x", 4)
+
+
+def test_blocked_search_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_CELLS", 60)
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((40, 40)) < 0.2, rng.integers(-3, 4, (40, 40)), 0)  # whole numbers, so that many tie
+    m[7] = 0
+    table = coo(spark, m, "x")
+    words = spark.createDataFrame([(w, w) for w in range(40)], "q int, word int")
+    got = {(r.q, r["rank"]): (r.id, r.score) for r in search.sparse_most_similar(table, words, 5, 6).collect()}
+    want = {}
+    for q in range(40):
+        shared = [i for i in range(40) if ((m[q] != 0) & (m[i] != 0)).any()]
+        for rank, i in enumerate(sorted(shared, key=lambda i: (-(m[q] @ m[i]), -i))[:5]):
+            want[q, rank + 1] = (i, float(m[q] @ m[i]))
+    assert got == want

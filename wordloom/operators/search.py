@@ -6,6 +6,11 @@ negative. Ties go to the lower id unless said otherwise.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ EPSILON = 0.01
 OBJECTIVES = ("add", "mul")
 #: Queries that are sent to every executor at once; larger batches are shuffled.
 BROADCAST_QUERIES = 100_000
+#: Cells of a block of rows and of a block of queries that meet in one task.
+BLOCK_CELLS = 2_000_000
 
 
 def check_objective(objective: str) -> None:
@@ -41,9 +48,66 @@ def sparse_rows(matrix: DataFrame, words: DataFrame) -> DataFrame:
     return words.join(matrix.select(F.col("w").alias("word"), "c", "x"), "word").select("q", "c", "x")
 
 
+def _near_best(score: np.ndarray, seen: np.ndarray, n: int, margin: float) -> np.ndarray:
+    """Positions of all seen rows that can be among the n best however ties are broken; scores within `margin` of each other may tie."""
+    at = np.flatnonzero(seen)
+    if len(at) > n:
+        s = score[at]
+        at = at[s >= np.partition(s, len(s) - n)[len(s) - n] - margin]
+    return at
+
+
+def sparse_best(matrix: DataFrame, queries: DataFrame, n: int, high_ids_first: bool = False, digits: int | None = None) -> DataFrame:
+    """top of sparse_scores(matrix, queries), for many queries.
+
+    Rows and queries are cut into blocks of about BLOCK_CELLS cells. Every two blocks meet in one
+    task, which holds the scores of one query at a time, so pairs of rows are never shuffled; only
+    the best rows of each block leave it.
+    """
+    margin = 0.0 if digits is None else 10.0**-digits
+    kind = queries.schema["q"].dataType.simpleString()
+    rows = matrix.select(F.col("w").cast("int").alias("id"), F.col("c").cast("int").alias("column"), F.col("x").cast("double").alias("y")).persist(StorageLevel.DISK_ONLY)
+    asked = queries.select("q", F.col("c").cast("int").alias("c"), F.col("x").cast("double").alias("x")).persist(StorageLevel.DISK_ONLY)
+    row_blocks, asked_blocks = (max(1, math.ceil(t.count() / BLOCK_CELLS)) for t in (rows, asked))
+    asked_blocks = max(asked_blocks, math.ceil(2 * matrix.sparkSession.sparkContext.defaultParallelism / row_blocks))
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = ([], [], [])
+        if asked.num_rows and rows.num_rows:
+            ids, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
+            c, y = rows["column"].to_numpy(), rows["y"].to_numpy()
+            order = np.argsort(c, kind="stable")
+            place, y = place[order], y[order]
+            columns, firsts = np.unique(c[order], return_index=True)
+            cells = {k: (place[a:b], y[a:b]) for k, a, b in zip(columns.tolist(), firsts, [*firsts[1:], len(order)])}
+            asked = asked.sort_by([("q", "ascending"), ("c", "ascending")])
+            q, c, x = (asked[k].to_numpy() for k in ("q", "c", "x"))
+            heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            for a, b in zip(heads, [*heads[1:], len(q)]):
+                score, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
+                for k, v in zip(c[a:b].tolist(), x[a:b].tolist()):
+                    if k in cells:
+                        at, values = cells[k]
+                        score[at] += v * values
+                        seen[at] = True
+                best = _near_best(score, seen, n, margin)
+                for out, values in zip(found, (np.full(len(best), q[a]), ids[best], score[best])):
+                    out.append(values)
+        types = (asked.schema.field("q").type, pa.int32(), pa.float64())
+        return pa.table([pa.array(np.concatenate(v) if v else [], t) for v, t in zip(found, types)], names=["q", "id", "score"])
+
+    def every(k: int) -> Column:
+        return F.explode(F.array(*(F.lit(i) for i in range(k))))
+
+    left = asked.withColumn("i", F.pmod(F.hash("q"), F.lit(asked_blocks))).withColumn("j", every(row_blocks))
+    right = rows.withColumn("s", F.pmod(F.hash("id"), F.lit(row_blocks))).withColumn("r", every(asked_blocks))
+    met = left.groupBy("i", "j").cogroup(right.groupBy("r", "s")).applyInArrow(run, f"q {kind}, id int, score double")
+    return top(met, n, high_ids_first=high_ids_first, digits=digits)
+
+
 def sparse_most_similar(matrix: DataFrame, words: DataFrame, n: int = 10, digits: int | None = None) -> DataFrame:
     """(q, id, score, rank): the n rows most similar to each query row, itself among them; rows that share no column are absent, so there may be fewer."""
-    return top(sparse_scores(matrix, sparse_rows(matrix, words)), n, high_ids_first=True, digits=digits)
+    return sparse_best(matrix, sparse_rows(matrix, words), n, high_ids_first=True, digits=digits)
 
 
 def sparse_add(matrix: DataFrame, queries: DataFrame, n: int = 10, digits: int | None = None) -> DataFrame:
@@ -52,7 +116,7 @@ def sparse_add(matrix: DataFrame, queries: DataFrame, n: int = 10, digits: int |
     total = rows.groupBy("q", "c").agg(F.sum(F.col("sign") * F.col("x")).alias("x"))
     length = Window.partitionBy("q")
     mean = total.select("q", "c", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(length))).alias("x"))
-    return top(sparse_scores(matrix, mean), n, digits=digits)
+    return sparse_best(matrix, mean, n, digits=digits)
 
 
 def _product(parts: DataFrame) -> DataFrame:

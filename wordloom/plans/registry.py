@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
-#: Vocabulary sizes: of counting queries, and of those that compare all rows with all others.
-KEEP_N, SMALL_N = 2000, 500
+#: Vocabulary sizes: of counting queries, and of those that compare all rows with all others; the latter the default of base.encode.
+KEEP_N, SMALL_N = 2000, 50_000
 DIM = 64
 
 
@@ -247,12 +248,12 @@ _sppmi("sppmi_neg5", 5, False)
 _sppmi("sppmi_norm", 1, True)
 
 
-# ---- sparse search: every word of a small vocabulary is a query
+# ---- sparse search: every word is a query
 
 
 def _small(spark, sf_dir):
     enc = base.encode(base.tokens(spark, sf_dir), SMALL_N)
-    return enc, base.sppmi(enc, PairParams())
+    return enc, base.sppmi(enc, PairParams()).persist(StorageLevel.DISK_ONLY)
 
 
 _DOT = "dots AS (SELECT a.w AS q, b.w AS id, sum(a.x * b.x) AS score FROM un a JOIN un b USING (c) GROUP BY 1, 2)"
