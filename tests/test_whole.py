@@ -20,3 +20,8 @@ def test_sparse_search_asks_for_every_word(spark, tables):
     rows = entry.queries()["sparse_most_similar"](spark, tables).where("rank = 1").collect()
     assert sorted(r.q for r in rows) == list(range(WORDS))
     assert all(r.score == pytest.approx(1) for r in rows)
+
+
+def test_encoding_knows_every_word(spark, tables):
+    ids = [r.id for r in entry.queries()["encode_unk"](spark, tables).collect()]
+    assert sorted(ids) == list(range(WORDS))

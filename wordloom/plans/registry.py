@@ -24,8 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
-#: Vocabulary sizes: of counting queries, and of those that compare all rows with all others; the latter the default of base.encode.
-KEEP_N, SMALL_N = 2000, 50_000
+#: Vocabulary sizes: of counting queries, and of those that compare all rows with all others; both the default of base.encode.
+KEEP_N, SMALL_N = 50_000, 50_000
 DIM = 64
 
 
