@@ -25,3 +25,8 @@ def test_sparse_search_asks_for_every_word(spark, tables):
 def test_encoding_knows_every_word(spark, tables):
     ids = [r.id for r in entry.queries()["encode_unk"](spark, tables).collect()]
     assert sorted(ids) == list(range(WORDS))
+
+
+def test_flagship_asks_for_every_word(spark, tables):
+    found = entry.queries()["flagship_neighbours"](spark, tables).where("rank = 1")
+    assert sorted(r.token for r in found.collect()) == sorted(f"w{i}" for i in range(WORDS))

@@ -763,18 +763,17 @@ def _svd_neighbours(spark, sf_dir):
     "flagship_neighbours",
     O.query(
         O.matrix(KEEP_N),
-        "fw AS (SELECT id FROM vocab ORDER BY tf DESC, id LIMIT 50)",
-        "dots AS (SELECT a.w AS q, b.w AS id, sum(a.x * b.x) AS score FROM un a JOIN fw ON a.w = fw.id JOIN un b USING (c) GROUP BY 1, 2)",
+        _DOT,
         "r AS (SELECT q, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, id DESC))::INT AS rank FROM dots)",
         select="SELECT a.token, b.token AS neighbour, score, rank FROM r JOIN vocab a ON a.id = q JOIN vocab b ON b.id = r.id WHERE rank <= 10",
     ),
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest words of the fifty most frequent ones, from raw documents."""
+    """The ten nearest words of every word of the vocabulary, from raw documents."""
     enc = base.encode(base.tokens(spark, sf_dir), KEEP_N)
-    matrix = base.sppmi(enc, PairParams())
-    words = enc.vocab.orderBy(F.col("tf").desc(), "id").limit(50).select(F.col("id").alias("q"), F.col("id").alias("word"))
-    found = search.sparse_most_similar(matrix, F.broadcast(words), 10, 6)
+    matrix = base.sppmi(enc, PairParams()).persist(StorageLevel.DISK_ONLY)
+    words = enc.vocab.select(F.col("id").alias("q"), F.col("id").alias("word"))
+    found = search.sparse_most_similar(matrix, words, 10, 6)
     a, b = (enc.vocab.select(F.col("id").alias(i), F.col("token").alias(t)) for i, t in (("q", "token"), ("id", "neighbour")))
     return rounded(found.join(F.broadcast(a), "q").join(F.broadcast(b), "id"), "score").select("token", "neighbour", "score", "rank")
 
