@@ -30,3 +30,8 @@ def test_encoding_knows_every_word(spark, tables):
 def test_flagship_asks_for_every_word(spark, tables):
     found = entry.queries()["flagship_neighbours"](spark, tables).where("rank = 1")
     assert sorted(r.token for r in found.collect()) == sorted(f"w{i}" for i in range(WORDS))
+
+
+def test_merged_vocabulary_has_every_word(spark, tables):
+    rows = entry.queries()["vocab_merge"](spark, tables).collect()
+    assert sorted((r.token, r.df, r.tf) for r in rows) == sorted((f"w{i}", 1, 1) for i in range(WORDS))

@@ -134,16 +134,15 @@ def _vocab_keep_tokens(spark, sf_dir):
 @_query(
     "vocab_merge",
     "WITH " + O.tok("regexp_extract_all(lower(translate(text, '’‐‑‒–—', '''-----')), '" + O.COMPOUND + "')") + """,
-    st AS (SELECT source AS file, token, count(DISTINCT doc_id) AS df, count(*) AS tf, min(doc_id) AS first_doc FROM long JOIN documents USING (doc_id) GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY df DESC, first_doc, token) AS r FROM st)
-    SELECT token, sum(df)::BIGINT AS df, sum(tf)::BIGINT AS tf, min((file, first_doc))[1] AS file, min((file, first_doc))[2] AS first_doc FROM r WHERE r <= 500 GROUP BY token""",
+    st AS (SELECT source AS file, token, count(DISTINCT doc_id) AS df, count(*) AS tf, min(doc_id) AS first_doc FROM long JOIN documents USING (doc_id) GROUP BY 1, 2)
+    SELECT token, sum(df)::BIGINT AS df, sum(tf)::BIGINT AS tf, min((file, first_doc))[1] AS file, min((file, first_doc))[2] AS first_doc FROM st GROUP BY token""",
 )
 def _vocab_merge(spark, sf_dir):
     docs = vocab.spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
     long = docs.select("source", "doc_id", F.explode(X.composed_tokens_v2(F.col("text"))).alias("token"))
     per_doc = long.groupBy("source", "doc_id", "token").agg(F.count("*").alias("n"))
     stats = per_doc.groupBy(F.col("source").alias("file"), "token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"), F.min("doc_id").alias("first_doc"))
-    return vocab.merge(stats, 500)
+    return vocab.merge(stats)
 
 
 @_query("encode_unk", O.query(O.encoded(KEEP_N), select="SELECT doc_id, pos::INT AS pos, id FROM ids"))
