@@ -35,3 +35,9 @@ def test_flagship_asks_for_every_word(spark, tables):
 def test_merged_vocabulary_has_every_word(spark, tables):
     rows = entry.queries()["vocab_merge"](spark, tables).collect()
     assert sorted((r.token, r.df, r.tf) for r in rows) == sorted((f"w{i}", 1, 1) for i in range(WORDS))
+
+
+def test_every_word_is_represented(spark, tables):
+    found = entry.queries()["sparse_represent"](spark, tables)
+    assert found.columns == ["w", "c", "x"]
+    assert sorted(r.w for r in found.select("w").distinct().collect()) == list(range(WORDS))

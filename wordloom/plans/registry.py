@@ -258,9 +258,9 @@ def _small(spark, sf_dir):
 _DOT = "dots AS (SELECT a.w AS q, b.w AS id, sum(a.x * b.x) AS score FROM un a JOIN un b USING (c) GROUP BY 1, 2)"
 
 
-@_query("sparse_represent", O.query(O.matrix(SMALL_N), select="SELECT c, round(x, 6) AS x FROM un WHERE w = 0"))
+@_query("sparse_represent", O.query(O.matrix(SMALL_N), select="SELECT w, c, round(x, 6) AS x FROM un"))
 def _sparse_represent(spark, sf_dir):
-    return rounded(ppmi.represent(_small(spark, sf_dir)[1], 0), "x")
+    return rounded(_small(spark, sf_dir)[1], "x")
 
 
 @_query(
