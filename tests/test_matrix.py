@@ -47,6 +47,17 @@ def test_svd_drops_noise_and_rejects_nothing(spark):
     assert all(np.linalg.norm(v) == pytest.approx(1) for v in e.values())
 
 
+def test_svd_of_a_flat_spectrum_beyond_the_exact_columns(spark, monkeypatch):
+    flat = coo(spark, np.diag(np.linspace(1, 0.99, 300)), "x")
+    exact = factor.svd(flat, 300, 20)
+    monkeypatch.setattr(factor, "EXACT_COLUMNS", 10)
+    f = factor.svd(flat, 300, 20)
+    assert f.s == pytest.approx(exact.s, rel=1e-7)
+    assert np.abs(np.sum(f.v * exact.v, axis=0)) == pytest.approx(np.ones(20), abs=1e-5)
+    with pytest.raises(ArithmeticError):
+        factor.svd(flat, 300, 20, n_iter=1)
+
+
 ROWS = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.95, 0.10, 0.0, 0.2958], [0.50, 0.50, 0.0, 0.7071]]
 
 

@@ -1,8 +1,9 @@
 """Truncated singular value decomposition of a sparse table (w, c, x) and embeddings from it.
 
 Rows are regrouped once by w. The exact route sums each partition's Gramian and takes its
-eigenvectors on the driver, for up to `EXACT_COLUMNS` columns; the randomized route is subspace
-iteration, which moves blocks of n x (dim + oversampling) numbers only. Partial sums are reduced
+eigenvectors on the driver, for up to `EXACT_COLUMNS` columns; beyond them a block Krylov space is
+grown until residuals are small. The randomized route is subspace iteration. Both move blocks of
+n x (dim + oversampling) numbers only; the Krylov space holds up to eight of them on the driver. Partial sums are reduced
 in stripes on the executors, so the driver gets one matrix, whatever the number of partitions.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from wordloom.functions import vectors as V
 
 EXACT_COLUMNS = 8192
+#: Beyond them the residuals |A'Av - s²v| of all wanted triplets must fall to this share of the largest s², within so many products.
+TOLERANCE, MOST_PRODUCTS = 1e-8, 500
 IMPLS = ("scipy", "gensim", "scikit", "randomized")
 #: Rows of a partial sum that travel together.
 _STRIPE = 256
@@ -156,11 +159,35 @@ def _left(grouped: DataFrame, v: np.ndarray, s: np.ndarray) -> DataFrame:
     return grouped.mapInArrow(run, "w int, u array<double>")
 
 
+def _converged(grouped: DataFrame, n: int, dim: int, width: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The dim largest eigenvalues of A'A and their vectors, by a block Krylov space that is restarted with the best half of it; raises if TOLERANCE isn't reached in `most` products."""
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))
+    aq = _times(grouped, q)
+    for product in range(1, most + 1):
+        small = q.T @ aq
+        values, z = np.linalg.eigh((small + small.T) / 2)
+        values, z = values[::-1], z[:, ::-1]
+        x = q @ z[:, :width]
+        rest = aq @ z[:, :width] - x * values[:width]
+        worst = np.linalg.norm(rest[:, :dim], axis=0).max()
+        if worst <= TOLERANCE * values[0]:
+            return values[:dim], x[:, :dim]
+        if product == most:
+            break
+        if q.shape[1] + width > 4 * width:
+            q, aq = q @ z[:, : 2 * width], aq @ z[:, : 2 * width]
+        rest = rest[:, : n - q.shape[1]]
+        for _ in range(2):
+            rest, _ = np.linalg.qr(rest - q @ (q.T @ rest))
+        q, aq = np.hstack([q, rest]), np.hstack([aq, _times(grouped, rest)])
+    raise ArithmeticError(f"no convergence in {most} products: the largest residual is {worst / values[0]:.1e} of the largest squared singular value, {TOLERANCE:.0e} is allowed")
+
+
 def svd(matrix: DataFrame, n: int, dim: int = 500, impl: str = "scipy", n_iter: int | None = None, oversample: int | None = None, seed: int = 0) -> Factors:
     """The dim largest singular triplets of an n x n matrix (w, c, x); fewer if the rest is rounding noise.
 
-    "scipy" is exact and falls back to a long subspace iteration beyond EXACT_COLUMNS; "gensim"
-    iterates 5 times with 10 more vectors, "scikit" and "randomized" 5 times with 10 unless told
+    "scipy" is exact; beyond EXACT_COLUMNS it iterates until the residuals of all triplets are
+    within TOLERANCE, and raises if n_iter products (MOST_PRODUCTS) don't do. "gensim" iterates 5 times with 10 more vectors, "scikit" and "randomized" 5 times with 10 unless told
     otherwise. An empty matrix raises.
     """
     if impl not in IMPLS:
@@ -174,11 +201,13 @@ def svd(matrix: DataFrame, n: int, dim: int = 500, impl: str = "scipy", n_iter:
         values, vectors = np.linalg.eigh(gramian(grouped, n))
         order = np.argsort(-values)[:dim]
         s2, v = values[order], vectors[:, order]
+    elif impl == "scipy":
+        width = min(n, dim + (oversample if oversample is not None else 50))
+        s2, v = _converged(grouped, n, dim, width, n_iter if n_iter is not None else MOST_PRODUCTS, seed)
     else:
-        exact = impl == "scipy"
-        width = min(n, dim + (oversample if oversample is not None else 50 if exact else 10))
+        width = min(n, dim + (oversample if oversample is not None else 10))
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))
-        for _ in range(n_iter if n_iter is not None else 40 if exact else 5):
+        for _ in range(n_iter if n_iter is not None else 5):
             q, _ = np.linalg.qr(_times(grouped, q))
         small = q.T @ _times(grouped, q)
         values, vectors = np.linalg.eigh((small + small.T) / 2)
