@@ -35,15 +35,15 @@ def tokenize(docs: DataFrame, choice: str | Tokenizer = "v2", doc_id: str = "doc
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
 
 
-def token_stats(tokens: DataFrame) -> DataFrame:
-    """(token, df, tf, first_doc): documents with the token, its occurrences and the first document.
+def token_stats(tokens: DataFrame, *by: str) -> DataFrame:
+    """(*by, token, df, tf, first_doc): documents with the token, its occurrences and the first document, for each value of the columns `by`.
 
     Sorting the tokens inside their row marks the first of each, so one aggregation with partial
     sums does for both counts.
     """
-    sorted_ = tokens.select("doc_id", F.array_sort("tokens").alias("t"))
-    marked = sorted_.select("doc_id", F.explode(F.expr("transform(t, (x, i) -> struct(x AS token, IF(i = 0 OR x <> t[greatest(i - 1, 0)], 1L, 0L) AS new))")).alias("x"))
-    return marked.groupBy(F.col("x.token").alias("token")).agg(F.sum("x.new").alias("df"), F.count("*").alias("tf"), F.min("doc_id").alias("first_doc"))
+    sorted_ = tokens.select(*by, "doc_id", F.array_sort("tokens").alias("t"))
+    marked = sorted_.select(*by, "doc_id", F.explode(F.expr("transform(t, (x, i) -> struct(x AS token, IF(i = 0 OR x <> t[greatest(i - 1, 0)], 1L, 0L) AS new))")).alias("x"))
+    return marked.groupBy(*by, F.col("x.token").alias("token")).agg(F.sum("x.new").alias("df"), F.count("*").alias("tf"), F.min("doc_id").alias("first_doc"))
 
 
 def cut(stats: DataFrame, num_docs: int, no_below: int = 0, no_above: float = 1.0, keep_n: int | None = 50_000, keep_tokens: Sequence[str] = ()) -> DataFrame:

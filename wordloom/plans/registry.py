@@ -138,10 +138,8 @@ def _vocab_keep_tokens(spark, sf_dir):
     SELECT token, sum(df)::BIGINT AS df, sum(tf)::BIGINT AS tf, min((file, first_doc))[1] AS file, min((file, first_doc))[2] AS first_doc FROM st GROUP BY token""",
 )
 def _vocab_merge(spark, sf_dir):
-    docs = vocab.spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
-    long = docs.select("source", "doc_id", F.explode(X.composed_tokens_v2(F.col("text"))).alias("token"))
-    per_doc = long.groupBy("source", "doc_id", "token").agg(F.count("*").alias("n"))
-    stats = per_doc.groupBy(F.col("source").alias("file"), "token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"), F.min("doc_id").alias("first_doc"))
+    docs = vocab.spread(table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", "text"))
+    stats = vocab.token_stats(docs.select("file", "doc_id", X.composed_tokens_v2(F.col("text")).alias("tokens")), "file")
     return vocab.merge(stats)
 
 
