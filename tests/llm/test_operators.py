@@ -153,26 +153,67 @@ def test_topk_search(spark, k, blocks, rows):
 # ---- 5
 
 
+def by_sql(rule, texts):
+    import duckdb
+
+    return [duckdb.execute(f"SELECT coalesce({rule.duck}, false) FROM (SELECT ?::VARCHAR AS text)", [t]).fetchall()[0][0] for t in texts]
+
+
 def test_quality_rules_by_definition(spark):
     good = "This is a plain text of several words that nobody would object to, and it goes on.\n" * 1
-    bad = ["", None, "A B C! " * 30 + "##@@$$%%^^&&**" * 4, "SHOUTING ALL THE TIME WITHOUT ANY END " * 3, "idiot and moron and scum in one text", "Réeuxelle le bomenter la casa", "x" * 800 + " y" * 20, "same\n" * 10]
+    bad = ["", None, "A B C! " * 30 + "##@@$$%%^^&&**" * 4, "SHOUTING ALL THE TIME WITHOUT ANY END " * 3, "what? no! why? so! " * 10, "x" * 800 + " y" * 20, "same\n" * 10, "go go go  stop\tstop stop no no no " * 3]
     table = docs(spark, [good, *bad, good])
     assert sorted(x.doc_id for x in quality_rules.keep_quality(table).collect()) == [0, len(bad) + 1]
-    one = [set(x.doc_id for x in table.where(f"NOT ({r.spark})").collect()) for r in quality_rules.RULES]
-    assert set.intersection(*one) == {0, len(bad) + 1}
+
+
+def test_quality_rules_equal_their_sql():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    pieces = ["word", "Word", "é", "漢字", "!", "?", "#", "$", "\n", "\n\n", " ", "  ", "\t", "ABC", "x" * 30, "go go", "a b c", "\x00", "🎉"]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " "]) for _ in range(r.randrange(120))) for _ in range(400)] + [x for x in ODD if x is not None] + ["\n" * 9, "a\n" * 3 + "a"]
+    texts += [(r.choice(pieces) + r.choice([" ", "\n"])) * r.randrange(1, 1200) for _ in range(60)]
+    column = pa.array(texts)
+    for rule in quality_rules.RULES:
+        assert rule.test(quality_rules.Texts(column)).tolist() == by_sql(rule, texts), rule.name
+    alone = np.ones(len(texts), bool)
+    for rule in quality_rules.RULES:
+        alone &= ~rule.test(quality_rules.Texts(column))
+    for seed in range(4):  # any order keeps the same texts
+        order = list(quality_rules.RULES)
+        random.Random(seed).shuffle(order)
+        assert (quality_rules.judge(column, tuple(order)) == alone).all()
 
 
 def test_few_different_words_at_any_length(spark):
-    import duckdb
+    import pyarrow as pa
 
     rule = next(r for r in quality_rules.RULES if r.name == "few different words")
     r = random.Random(3)
     prose = words(r, 30_000, 3000)  # a tenth of its words are different, most of those of any block are
-    texts = ["word " * 49, "word " * 50, "word " * 1000, "word " * 1001, "word " * 60_000, "a b c d e f g h " * 300, prose, words(r, 1000, 3000), "", None]
-    got = [x.x for x in docs(spark, texts).orderBy("doc_id").selectExpr(f"{rule.spark} AS x").collect()]
-    assert got == [False, True, True, True, True, True, False, False, False, False]
-    assert [duckdb.execute(f"SELECT {rule.duck} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchone()[0] for t in texts] == got
-    assert [x.doc_id for x in quality_rules.keep_quality(docs(spark, texts)).orderBy("doc_id").collect()] == [0, 6, 7]
+    texts = ["word " * 49, "word " * 50, "word " * 1000, "word " * 1001, "word " * 60_000, "a b c d e f g h " * 300, prose, words(r, 1000, 3000), ""]
+    got = rule.test(quality_rules.Texts(pa.array(texts))).tolist()
+    assert got == [False, True, True, True, True, True, False, False, False]
+    assert by_sql(rule, texts) == got
+    assert [x.doc_id for x in quality_rules.keep_quality(docs(spark, [*texts, None])).orderBy("doc_id").collect()] == [6, 7]
+
+
+def test_marked_words_are_learned(spark):
+    texts = ["you Grumpf, you zork."] * 4 + ["a plain zork of a text"] * 2 + ["grumpf alone", None, "plain"]
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(9)] + [(None, 1), (3, None), (8, 0)], "doc_id long, toxic int")
+    table = docs(spark, texts)
+    assert quality_rules.learn(table, labels) == ["grumpf", "you"]  # zork: 4 of 6
+    assert quality_rules.learn(table, labels, 2) == [] == quality_rules.learn(table, labels.where("false")) == quality_rules.learn(table.where("false"), labels)
+    rule = quality_rules.marked_words(["grumpf", "you"])
+    kept = quality_rules.keep_quality(table, (rule,))
+    assert sorted(x.doc_id for x in kept.collect()) == [4, 5, 6, 7, 8]
+    assert quality_rules.keep_quality(table, (quality_rules.marked_words([]),)).count() == 9
+
+
+def test_quality_measure(spark):
+    measured = quality_rules.measure(docs(spark, ["", "plain text", None, "word " * 60]))
+    assert {m["name"]: m["rejected"] for m in measured}["empty"] == 0.5 and all(m["cost"] > 0 for m in measured)
+    assert all(m["cost"] == m["rejected"] == 0 for m in quality_rules.measure(docs(spark, [])))
 
 
 def test_quality_order():

@@ -20,6 +20,8 @@ CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACE_BYTES)] = False
+#: Bytes of words without ASCII punctuation and control characters: ASCII letters, digits and all of other scripts.
+PLAIN = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -73,6 +75,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (row, value), by row."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of text each; a longer text is a slice of its own."""
     for batch in batches:
@@ -88,14 +99,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 
 class Words:
-    """The words of a chunk of texts: byte spans, 64-bit hashes and word counts per text."""
+    """The words of a chunk of texts (runs of the bytes `of`): byte spans, 64-bit hashes and word counts per text."""
 
     __slots__ = ("bounds", "counts", "data", "ends", "hashes", "row", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, of: np.ndarray = _IS_WORD):
         n_rows = len(offsets) - 1
         self.data = data
-        inside = _IS_WORD[data]
+        inside = of[data]
         before = np.empty_like(inside)
         if len(data):
             before[0] = False
