@@ -16,7 +16,7 @@ from wordloom.llm._store import Workspace
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.keep_quality(docs)
+    return quality_rules.keep_quality(docs, quality_rules.rules_of(spark, sf_dir))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
