@@ -100,8 +100,10 @@ def test_stream_equals_batch(spark, tmp_path, corpus):
 
     ids = spark.createDataFrame(list(corpus.items()), "doc_id long, ids array<int>")
     ids.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    counts.count_stream(stream, 12, 3, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    p = PairParams(window=3, subsample=None)
-    got = {(r.w, r.c): r.n for r in counts.totals(spark, str(tmp_path / "out"), p).collect()}
-    assert got == pytest.approx({(r.w, r.c): r.n for r in cooc.count_pairs(ids, 12, p).collect()})
+    for k, p in enumerate((PairParams(window=3, subsample=None), PairParams(subsample_factor=0.02, min_count=2), PairParams(dynamic_window="prob", delete_oov=False, subsample="off"))):
+        stream = spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        counts.count_stream(stream, 12, p, str(tmp_path / f"out{k}"), str(tmp_path / f"ck{k}")).awaitTermination()
+        got = {(r.w, r.c): r.n for r in counts.totals(spark, str(tmp_path / f"out{k}"), 12, p).collect()}
+        assert got and got == pytest.approx({(r.w, r.c): r.n for r in cooc.count_pairs(ids, 12, p).collect()})
+    with pytest.raises(ValueError):
+        counts.totals(spark, str(tmp_path / "out0"), 12, PairParams(subsample="dirty"))

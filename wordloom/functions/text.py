@@ -95,9 +95,15 @@ def single_token(text: Column, tokenize: Tokenizer = composed_tokens_v2) -> Colu
     return F.size(tokenize(text)) == 1
 
 
-def folded_key(text: Column, compose: bool = False) -> Column:
-    """A key that is equal for texts alike but for case."""
-    return F.lower(nfc(text) if compose else text)
+@F.pandas_udf(StringType())
+def _casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else t.casefold())
+
+
+def folded_key(text: Column, compose: bool = True) -> Column:
+    """A key that is equal for texts alike but for case, by full case folding; only texts beyond ASCII go to Python."""
+    text = nfc(text) if compose else text
+    return F.coalesce(_casefold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
 def sentences(text: Column) -> Column:

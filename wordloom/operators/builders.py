@@ -74,23 +74,44 @@ def check_base_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def lint(rows: DataFrame, kind: str) -> DataFrame:
-    """(name, line, problem) of ws or analogy rows that break a rule; a row may break several."""
-    words = {"ws": ["word1", "word2"], "analogy": ["a", "a_prime", "b", "b_prime"]}.get(kind)
-    if words is None:
-        raise ValueError(f"kind is {kind!r}; it can be ws or analogy")
+    """(name, line, problem) of gold rows that break a rule of their kind; a row may break several.
+
+    All kinds: entries are single tokens (the category's name and a synonym row's options may be
+    phrases only where they tokenize to one), rows don't repeat. ws: no word with itself, finite
+    scores. analogy: four different words, the answer none of the question. synonym: an answer
+    that isn't the target, options that differ. category: no word in two categories of a table.
+    """
+    columns = {"ws": ["word1", "word2"], "analogy": ["a", "a_prime", "b", "b_prime"], "synonym": ["target", "answer"], "category": ["word"]}
+    if kind not in columns:
+        raise ValueError(f"kind is {kind!r}; it can be {sorted(columns)}")
+    words = columns[kind]
     low = [F.lower(F.col(w)) for w in words]
     single = F.lit(True)
     for w in words:
         single = single & single_token(F.col(w))
-    key: list[Column] = [F.least(*low), F.greatest(*low)] if kind == "ws" else low
-    repeated = F.row_number().over(Window.partitionBy("name", *key).orderBy("line")) > 1
-    rows = rows.withColumn("__repeated", repeated)
+    options = F.transform("distractors", F.lower) if kind == "synonym" else None
+    key: list[Column] = low
+    if kind == "ws":
+        key = [F.least(*low), F.greatest(*low)]
+    elif kind == "synonym":
+        key = [low[0], F.array_sort(F.array_append(options, low[1]))]
+    rows = rows.withColumn("__repeated", F.row_number().over(Window.partitionBy("name", *key).orderBy("line")) > 1)
     tests = [F.when(~single, "multitoken"), F.when(F.col("__repeated"), "duplicate")]
     if kind == "ws":
         score = F.expr("try_cast(score AS double)")
         tests += [F.when(low[0] == low[1], "self_pair"), F.when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), "score")]
-    else:
+    elif kind == "analogy":
         tests += [F.when(F.size(F.array_distinct(F.array(*low))) < 4, "not_distinct"), F.when((low[3] == low[0]) | (low[3] == low[1]) | (low[3] == low[2]), "answer_in_question")]
+    elif kind == "synonym":
+        every = F.concat(F.array(*low), options)
+        tests += [
+            F.when(low[0] == low[1], "self_pair"),
+            F.when(F.size(F.array_distinct(every)) < F.size(every), "not_distinct"),
+            F.when(F.exists("distractors", lambda d: ~single_token(d)), "multitoken_distractor"),
+        ]
+    else:
+        rows = rows.withColumn("__kinds", F.size(F.collect_set("category").over(Window.partitionBy("name", F.lower("word")))))
+        tests += [F.when(F.col("__kinds") > 1, "two_categories"), F.when(F.trim("category") == "", "no_category")]
     return rows.select("name", "line", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("problem"))
 
 

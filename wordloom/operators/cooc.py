@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.draws import RANGE
-from wordloom.operators.vocab import bounded, token_counts
+from wordloom.operators.vocab import BROADCAST_ROWS, bounded, token_counts
 
 MODES = (None, False, "deter", "prob", "dirty", "off", "decay")
 
@@ -64,14 +64,25 @@ def drop_unknown(ids: DataFrame, size: int) -> DataFrame:
 
 
 def subsample(ids: DataFrame, factors: DataFrame, seed: int, dirty: bool, size: int) -> DataFrame:
-    """Documents whose frequent tokens are kept with probability p each: the others are removed (dirty) or become null slots."""
-    long = ids.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(bounded(factors, size + 1), "id", "left")
-    number = F.expr(f"cast(conv(substr(md5(concat_ws('-', '{seed}', 'keep', cast(doc_id AS string), cast(pos AS string))), 1, 8), 16, 10) AS long)")
-    kept = F.col("p").isNull() | (number / F.lit(float(RANGE)) < F.col("p"))
-    slots = long.select("doc_id", "pos", F.when(kept, F.col("id")).alias("id"))
-    if dirty:
-        slots = slots.where("id IS NOT NULL")
-    return slots.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    """Documents whose frequent tokens are kept with probability p each: the others are removed (dirty) or become null slots.
+
+    Draws are made inside the row: the probabilities of all ids travel as one array, which is
+    indexed by id, so no token is shuffled. A vocabulary too large for that joins instead.
+    """
+    number = "cast(conv(substr(md5(concat_ws('-', '{seed}', 'keep', cast(doc_id AS string), cast({pos} AS string))), 1, 8), 16, 10) AS long) / {range}D"
+    if size > BROADCAST_ROWS:
+        long = ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode("ids").alias("pos", "id")).join(factors, "id", "left")
+        kept = F.col("p").isNull() | (F.expr(number.format(seed=seed, pos="pos", range=RANGE)) < F.col("p"))
+        slots = long.select("row", "doc_id", F.struct("pos", F.when(kept, F.col("id")).alias("id")).alias("s"))
+        if dirty:
+            slots = slots.where("s.id IS NOT NULL")
+        return slots.groupBy("row", "doc_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["id"]).alias("ids")).drop("row")
+    # one row of size + 1 numbers; 2 stands for ids that are always kept
+    every = ids.sparkSession.range(size + 1).join(F.broadcast(factors), "id", "left").select("id", F.coalesce("p", F.lit(2.0)).alias("p"))
+    odds = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "p"))), lambda x: x["p"]).alias("__p"))
+    kept = f"IF(x IS NULL OR coalesce(get(__p, x), 2) > 1 OR {number.format(seed=seed, pos='i', range=RANGE)} < get(__p, x), x, CAST(NULL AS int))"
+    drawn = ids.crossJoin(F.broadcast(odds)).select("doc_id", F.expr(f"transform(ids, (x, i) -> {kept})").alias("ids"))
+    return drawn.select("doc_id", F.filter("ids", lambda x: x.isNotNull()).alias("ids")) if dirty else drawn
 
 
 def _right_pairs(window: int) -> str:
@@ -125,31 +136,22 @@ def weighted(counts: DataFrame, params: PairParams) -> Column:
     return total
 
 
-def prepare(ids: DataFrame, size: int, params: PairParams, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Documents as the window sees them, and the keep factors where subsampling needs them.
+def factors_of(counts: DataFrame, params: PairParams) -> DataFrame | None:
+    """The keep factors where subsampling needs them; counts (id, n) are of the documents as given, unknown tokens included."""
+    return keep_factors(counts, params.subsample_factor) if params.subsample in ("deter", "prob", "dirty") else None
 
-    Token counts are of the documents as given, unknown tokens included; positions of the draws
-    are those behind the removal of unknown tokens.
-    """
-    factors = None
-    if params.subsample in ("deter", "prob", "dirty"):
-        factors = keep_factors(counts if counts is not None else token_counts(ids), params.subsample_factor)
+
+def distances(ids: DataFrame, size: int, params: PairParams, factors: DataFrame | None = None) -> DataFrame:
+    """Counts of each pair by distance, of documents as the window sees them; positions of draws are those behind the removal of unknown tokens."""
     if params.delete_oov:
         ids = drop_unknown(ids, size)
     if params.subsample in ("prob", "dirty"):
         ids = subsample(ids, factors, params.seed, params.subsample == "dirty", size)
-    return ids, factors
-
+    return random_window(ids, params.window, params.seed) if params.dynamic_window == "prob" else histogram(ids, params.window)
 
-def count_pairs(ids: DataFrame, size: int, params: PairParams | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """(w, c, n): weighted counts of ordered pairs of ids in (doc_id, ids), ids from 0 to size, size being the unknown token.
 
-    Order: sum over all documents, min_count on the weighted counts, then the deterministic
-    subsampling factors of both tokens. `counts` (id, n) saves counting the tokens again.
-    """
-    params = params or PairParams()
-    ids, factors = prepare(ids, size, params, counts)
-    found = random_window(ids, params.window, params.seed) if params.dynamic_window == "prob" else histogram(ids, params.window)
+def settle(found: DataFrame, size: int, params: PairParams, factors: DataFrame | None) -> DataFrame:
+    """(w, c, n) of the distance counts: weights, then min_count, then the deterministic subsampling factors of both tokens."""
     cells = found.select("w", "c", weighted(found, params).alias("n"))
     if params.min_count:
         cells = cells.where(F.col("n") >= params.min_count)
@@ -163,6 +165,13 @@ def count_pairs(ids: DataFrame, size: int, params: PairParams | None = None, cou
     return cells
 
 
+def count_pairs(ids: DataFrame, size: int, params: PairParams | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(w, c, n): weighted counts of ordered pairs of ids in (doc_id, ids), ids from 0 to size, size being the unknown token. `counts` (id, n) saves counting the tokens again."""
+    params = params or PairParams()
+    factors = factors_of(counts if counts is not None else token_counts(ids), params)
+    return settle(distances(ids, size, params, factors), size, params, factors)
+
+
 def sparsity(cells: DataFrame, size: int) -> DataFrame:
     """One row: cells, and their share of all (size + 1)**2."""
     return cells.agg(F.count("*").alias("cells"), (F.count("*") / F.lit(float((size + 1) ** 2))).alias("share"))

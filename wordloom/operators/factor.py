@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import vectors as V
+from wordloom.sources import shared
 
 EXACT_COLUMNS = 8192
 #: Beyond them the residuals |A'Av - s²v| of all wanted triplets must fall to this share of the largest s², within so many products.
@@ -58,21 +59,16 @@ def negligible(s: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(w, c, x) of whole rows, about _BATCH cells at once; the input is sorted by w."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    """(w, c, x) of whole rows, about _BATCH cells at once, of rows (w, c, x) with lists of columns and values."""
     for b in batches:
-        held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-        size += b.num_rows
-        if size >= _BATCH:
-            w, c, x = (np.concatenate(z) for z in zip(*held))
-            last = int(np.searchsorted(w, w[-1]))
-            if last:
-                yield w[:last], c[:last], x[:last]
-            held, size = [(w[last:], c[last:], x[last:])], len(w) - last
-    if size:
-        w, c, x = (np.concatenate(z) for z in zip(*held))
-        yield w, c, x
+        sizes = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        stops = np.cumsum(sizes)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(stops, stops[at] - sizes[at] + _BATCH, side="right")))
+            part = b.slice(at, to - at)
+            yield np.repeat(part.column(0).to_numpy(), sizes[at:to]), part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+            at = to
 
 
 def _dense(w: np.ndarray, c: np.ndarray, x: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -125,10 +121,10 @@ def gramian(grouped: DataFrame, n: int) -> np.ndarray:
 def _times(grouped: DataFrame, q: np.ndarray) -> np.ndarray:
     """A'(A q)."""
     n, width = q.shape
-    shared = grouped.sparkSession.sparkContext.broadcast(q)
+    sent = grouped.sparkSession.sparkContext.broadcast(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, total, some = shared.value, np.zeros((n, width)), False
+        q, total, some = sent.value, np.zeros((n, width)), False
         for w, c, x in _blocks(batches):
             heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             product = np.add.reduceat(q[c] * x[:, None], heads)
@@ -141,18 +137,18 @@ def _times(grouped: DataFrame, q: np.ndarray) -> np.ndarray:
             yield from _stripes(total)
 
     out = _gather(grouped.mapInArrow(run, "stripe int, data binary"), n, width)
-    shared.unpersist()
+    sent.unpersist()
     return out
 
 
 def _left(grouped: DataFrame, v: np.ndarray, s: np.ndarray) -> DataFrame:
     """(w, u): rows of A v / s."""
-    shared = grouped.sparkSession.sparkContext.broadcast(v / s)
+    sent = grouped.sparkSession.sparkContext.broadcast(v / s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, c, x in _blocks(batches):
             heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            u = np.add.reduceat(shared.value[c] * x[:, None], heads)
+            u = np.add.reduceat(sent.value[c] * x[:, None], heads)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * u.shape[1]), pa.array(u.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(w[heads].astype(np.int32)), flat], names=["w", "u"])
 
@@ -194,7 +190,9 @@ def svd(matrix: DataFrame, n: int, dim: int = 500, impl: str = "scipy", n_iter:
         raise ValueError(f"impl is {impl!r}; it can be {IMPLS}")
     dim = clamp(dim, n)
     rows = matrix.select(F.col("w").cast("int").alias("w"), F.col("c").cast("int").alias("c"), F.col("x").cast("double").alias("x")).where("x <> 0")
-    grouped = rows.repartition("w").sortWithinPartitions("w").persist(StorageLevel.DISK_ONLY)
+    # one row a word, so that the written table can be split anywhere; a row has n cells at most
+    cells = F.array_sort(F.collect_list(F.struct("c", "x")))
+    grouped = shared.save(rows.groupBy("w").agg(cells.alias("cells")).select("w", "cells.c", "cells.x"), "rows")
     if grouped.isEmpty():
         raise ValueError("the matrix has no entries")
     if impl == "scipy" and n <= EXACT_COLUMNS:

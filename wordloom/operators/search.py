@@ -10,16 +10,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import vectors as V
+from wordloom.sources import shared
 
 EPSILON = 0.01
 OBJECTIVES = ("add", "mul")
-#: Queries that are sent to every executor at once; larger batches are shuffled.
-BROADCAST_QUERIES = 100_000
 #: Cells of a block of rows and of a block of queries that meet in one task.
 BLOCK_CELLS = 2_000_000
 
@@ -48,26 +46,32 @@ def sparse_rows(matrix: DataFrame, words: DataFrame) -> DataFrame:
     return words.join(matrix.select(F.col("w").alias("word"), "c", "x"), "word").select("q", "c", "x")
 
 
-def _near_best(score: np.ndarray, seen: np.ndarray, n: int, margin: float) -> np.ndarray:
-    """Positions of all seen rows that can be among the n best however ties are broken; scores within `margin` of each other may tie."""
+def _near_best(score: np.ndarray, seen: np.ndarray, n: int, margin: float, high_first: bool = False) -> np.ndarray:
+    """Positions of all seen rows that can be among the n best; scores within `margin` of each other may tie, and of equal ones the n first (or last) places do."""
     at = np.flatnonzero(seen)
     if len(at) > n:
         s = score[at]
-        at = at[s >= np.partition(s, len(s) - n)[len(s) - n] - margin]
+        cut = np.partition(s, len(s) - n)[len(s) - n]
+        equal = at[s == cut]
+        at = np.concatenate([at[(s >= cut - margin) & (s != cut)], equal[-n:] if high_first else equal[:n]])
     return at
 
 
-def sparse_best(matrix: DataFrame, queries: DataFrame, n: int, high_ids_first: bool = False, digits: int | None = None) -> DataFrame:
+def sparse_best(matrix: DataFrame, queries: DataFrame, n: int, high_ids_first: bool = False, digits: int | None = None, product: bool = False) -> DataFrame:
     """top of sparse_scores(matrix, queries), for many queries.
 
     Rows and queries are cut into blocks of about BLOCK_CELLS cells. Every two blocks meet in one
     task, which holds the scores of one query at a time, so pairs of rows are never shuffled; only
-    the best rows of each block leave it.
+    the best rows of each block leave it. With `product` the queries (q, part, sign, c, x) have
+    several rows each, and the score of every row of the matrix is the product of the scores of
+    the positive parts over that of the negative ones plus EPSILON; a part whose c is null scores 0.
     """
     margin = 0.0 if digits is None else 10.0**-digits
     kind = queries.schema["q"].dataType.simpleString()
-    rows = matrix.select(F.col("w").cast("int").alias("id"), F.col("c").cast("int").alias("column"), F.col("x").cast("double").alias("y")).persist(StorageLevel.DISK_ONLY)
-    asked = queries.select("q", F.col("c").cast("int").alias("c"), F.col("x").cast("double").alias("x")).persist(StorageLevel.DISK_ONLY)
+    rows = matrix.select(F.col("w").cast("int").alias("id"), F.col("c").cast("int").alias("column"), F.col("x").cast("double").alias("y"))
+    parts = (F.col("part"), F.col("sign").cast("int")) if product else (F.lit(0), F.lit(1))
+    asked = queries.select("q", parts[0].cast("int").alias("part"), parts[1].alias("sign"), F.coalesce(F.col("c").cast("int"), F.lit(-1)).alias("c"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"))
+    asked = shared.save(asked, "asked")
     row_blocks, asked_blocks = (max(1, math.ceil(t.count() / BLOCK_CELLS)) for t in (rows, asked))
     asked_blocks = max(asked_blocks, math.ceil(2 * matrix.sparkSession.sparkContext.defaultParallelism / row_blocks))
 
@@ -80,9 +84,10 @@ def sparse_best(matrix: DataFrame, queries: DataFrame, n: int, high_ids_first: b
             place, y = place[order], y[order]
             columns, firsts = np.unique(c[order], return_index=True)
             cells = {k: (place[a:b], y[a:b]) for k, a, b in zip(columns.tolist(), firsts, [*firsts[1:], len(order)])}
-            asked = asked.sort_by([("q", "ascending"), ("c", "ascending")])
-            q, c, x = (asked[k].to_numpy() for k in ("q", "c", "x"))
-            heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            asked = asked.sort_by([("q", "ascending"), ("part", "ascending"), ("c", "ascending")])
+            q, part, sign, c, x = (asked[k].to_numpy() for k in ("q", "part", "sign", "c", "x"))
+            heads = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (part[1:] != part[:-1])]))
+            above = below = None
             for a, b in zip(heads, [*heads[1:], len(q)]):
                 score, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
                 for k, v in zip(c[a:b].tolist(), x[a:b].tolist()):
@@ -90,21 +95,32 @@ def sparse_best(matrix: DataFrame, queries: DataFrame, n: int, high_ids_first: b
                         at, values = cells[k]
                         score[at] += v * values
                         seen[at] = True
-                best = _near_best(score, seen, n, margin)
+                if product:
+                    if above is None:
+                        above, below = np.ones(len(ids)), np.ones(len(ids))
+                    if sign[a] > 0:
+                        above *= score
+                    else:
+                        below *= score
+                    if b < len(q) and q[b] == q[a]:
+                        continue
+                    score, seen, above, below = above / (below + EPSILON), np.ones(len(ids), bool), None, None
+                best = _near_best(score, seen, n, margin, high_ids_first)
                 for out, values in zip(found, (np.full(len(best), q[a]), ids[best], score[best])):
                     out.append(values)
         types = (asked.schema.field("q").type, pa.int32(), pa.float64())
         return pa.table([pa.array(np.concatenate(v) if v else [], t) for v, t in zip(found, types)], names=["q", "id", "score"])
 
-    def every(k: int) -> Column:
-        return F.explode(F.array(*(F.lit(i) for i in range(k))))
-
-    left = asked.withColumn("i", F.pmod(F.hash("q"), F.lit(asked_blocks))).withColumn("j", every(row_blocks))
-    right = rows.withColumn("s", F.pmod(F.hash("id"), F.lit(row_blocks))).withColumn("r", every(asked_blocks))
+    left = asked.withColumn("i", F.pmod(F.hash("q"), F.lit(asked_blocks))).withColumn("j", _every(row_blocks))
+    right = rows.withColumn("s", F.pmod(F.hash("id"), F.lit(row_blocks))).withColumn("r", _every(asked_blocks))
     met = left.groupBy("i", "j").cogroup(right.groupBy("r", "s")).applyInArrow(run, f"q {kind}, id int, score double")
     return top(met, n, high_ids_first=high_ids_first, digits=digits)
 
 
+def _every(k: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+
 def sparse_most_similar(matrix: DataFrame, words: DataFrame, n: int = 10, digits: int | None = None) -> DataFrame:
     """(q, id, score, rank): the n rows most similar to each query row, itself among them; rows that share no column are absent, so there may be fewer."""
     return sparse_best(matrix, sparse_rows(matrix, words), n, high_ids_first=True, digits=digits)
@@ -119,37 +135,95 @@ def sparse_add(matrix: DataFrame, queries: DataFrame, n: int = 10, digits: int |
     return sparse_best(matrix, mean, n, digits=digits)
 
 
-def _product(parts: DataFrame) -> DataFrame:
-    """(q, id, score) of parts (q, id, sign, cos): product of the positive ones over that of the negative ones."""
-    positive = F.aggregate(F.collect_list(F.when(F.col("sign") > 0, F.col("cos"))), F.lit(1.0), lambda a, x: a * x)
-    negative = F.aggregate(F.collect_list(F.when(F.col("sign") < 0, F.col("cos"))), F.lit(1.0), lambda a, x: a * x)
-    return parts.groupBy("q", "id").agg((positive / (negative + F.lit(EPSILON))).alias("score"))
-
-
 def sparse_mul(matrix: DataFrame, queries: DataFrame, n: int = 10, digits: int | None = None) -> DataFrame:
     """Best rows by the product of cosines to the positive over that to the negative query rows (plus 0.01); a cosine of rows that share nothing is 0."""
-    words = matrix.select(F.col("w").alias("id")).distinct()
-    asked = queries.select("q", "word", "sign")
-    rows = asked.select("word").distinct().join(matrix.select(F.col("w").alias("word"), "c", "x"), "word")
-    cos = rows.join(matrix.select(F.col("w").alias("id"), "c", F.col("x").alias("y")), "c").groupBy("word", "id").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
-    parts = asked.crossJoin(words).join(cos, ["word", "id"], "left").select("q", "id", "sign", F.coalesce("cos", F.lit(0.0)).alias("cos"))
-    return top(_product(parts), n, digits=digits)
-
+    numbered = queries.select("q", "word", "sign").withColumn("part", F.row_number().over(Window.partitionBy("q").orderBy("sign", "word")))
+    parts = numbered.join(matrix.select(F.col("w").alias("word"), "c", "x"), "word", "left")
+    return sparse_best(matrix, parts, n, digits=digits, product=True)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _combine(part: np.ndarray, sign: np.ndarray, of: np.ndarray, product: bool) -> np.ndarray:
+    """Scores of each query from the products `part` (parts of queries x rows), `of` giving the query of each part, in order."""
+    if not product:
+        return part
+    part = (part + 1) / 2
+    queries = int(of[-1]) + 1
+    sides = []
+    for side in (sign > 0, sign <= 0):
+        out = np.ones((queries, part.shape[1]))
+        at = np.flatnonzero(side)
+        if len(at):
+            heads = np.flatnonzero(np.concatenate([[True], of[at][1:] != of[at][:-1]]))
+            out[of[at][heads]] = np.multiply.reduceat(part[at], heads, axis=0)
+        sides.append(out)
+    return sides[0] / (sides[1] + EPSILON)
+
+
+def dense_best(vectors: DataFrame, asked: DataFrame, n: int, dim: int | None = None, key: str | None = None, include_self: bool = True, product: bool = False, digits: int | None = None) -> DataFrame:
+    """([key,] q, id, score): rows that can be among the n best vectors ([key,] id, vec) of each query, of which asked ([key,] q, sign, qvec) has the parts.
+
+    Vectors and queries are cut into blocks of about BLOCK_CELLS numbers, in a large group into
+    several. Every two blocks (of one group) meet in one task as a product of matrices; only each
+    block's best rows leave it, so the pairs are never rows and nothing is broadcast.
+    """
+    margin = 0.0 if digits is None else 10.0**-digits
+    keys = [key] if key else []
+    kinds = [(c, t.schema[c].dataType) for t, c in ((vectors, key), (asked, "q"), (vectors, "id")) if c]
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", score double"
+    per = max(1, BLOCK_CELLS // (dim or 256))
+    vectors, asked = vectors.where("vec IS NOT NULL"), asked.where("qvec IS NOT NULL")
+    if key:
+        size = F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(float(per))).cast("int"))
+        a, b = asked.groupBy(F.col(key).alias("__k")).agg(size.alias("__a")), vectors.groupBy(F.col(key).alias("__l")).agg(size.alias("__b"))
+        both = a.join(b, F.expr("__k = __l")).select("__k", "__a", "__b")
+        vectors, asked = (t.join(both, F.expr(f"`{key}` = __k")) for t in (vectors, asked))
+    else:
+        b = max(1, math.ceil(vectors.count() / per))
+        a = max(1, math.ceil(asked.count() / per), math.ceil(2 * vectors.sparkSession.sparkContext.defaultParallelism / b))
+        vectors, asked = (t.withColumn("__a", F.lit(a)).withColumn("__b", F.lit(b)) for t in (vectors, asked))
 
-def _asked(queries: DataFrame, batch: int | None) -> DataFrame:
-    return F.broadcast(queries) if batch is not None and batch <= BROADCAST_QUERIES else queries
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], []]
+        if asked.num_rows and rows.num_rows:
+            ids, x = rows["id"].to_numpy(), _matrix(rows["vec"])
+            asked = asked.sort_by([("q", "ascending")])
+            q, sign, parts = asked["q"].to_numpy(), asked["sign"].to_numpy(), _matrix(asked["qvec"])
+            heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if product else np.arange(len(q))
+            ends = np.append(heads, len(q))
+            step = max(1, BLOCK_CELLS // max(1, len(ids)))
+            for s in range(0, len(heads), step):
+                one = heads[s : s + step]
+                low, high = int(one[0]), int(ends[min(s + step, len(heads))])
+                of = np.searchsorted(one, np.arange(low, high), side="right") - 1
+                score = _combine(parts[low:high] @ x.T, sign[low:high], of, product)
+                if not include_self:
+                    score[q[one][:, None] == ids[None, :]] = -np.inf
+                kept = score > -np.inf
+                if len(ids) > n:
+                    kept &= score >= np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n][:, None] - margin
+                a, b = np.nonzero(kept)
+                for out, values in zip(found, (q[one][a], ids[b], score[a, b])):
+                    out.append(values)
+        columns = dict(zip(("q", "id", "score"), (np.concatenate(v) if v else [] for v in found)))
+        if key:
+            columns[key] = np.repeat(rows[key].to_numpy()[:1], len(columns["q"])) if rows.num_rows else []
+        wanted = [*(c for c, _ in kinds), "score"]
+        return pa.table([pa.array(columns[c], (asked if c == "q" else rows).schema.field(c).type if c != "score" else pa.float64()) for c in wanted], names=wanted)
 
+    left = asked.select(*(F.col(k).alias(k) for k in keys), "q", F.col("sign").cast("int").alias("sign"), "qvec", F.pmod(F.hash("q"), F.col("__a")).alias("i"), F.explode(F.expr("sequence(0, __b - 1)")).alias("j"))
+    right = vectors.select(*(F.col(k).alias(k) for k in keys), "id", "vec", F.pmod(F.hash("id"), F.col("__b")).alias("j"), F.explode(F.expr("sequence(0, __a - 1)")).alias("i"))
+    cell = [*keys, "i", "j"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, schema)
 
-def dense_most_similar(vectors: DataFrame, queries: DataFrame, n: int = 10, dim: int | None = None, batch: int | None = None, include_self: bool = True, digits: int | None = None) -> DataFrame:
-    """(q, id, score, rank): the n vectors of the highest product with each query (q, qvec); q is the query's own id.
 
-    `batch`, the number of queries if known, allows them to be sent to all executors.
-    """
-    pairs = vectors.crossJoin(_asked(queries, batch))
-    if not include_self:
-        pairs = pairs.where("id <> q")
-    scored = pairs.select("q", "id", V.dot(F.col("vec"), F.col("qvec"), dim).alias("score"))
-    return top(scored, n, high_ids_first=include_self, digits=digits)
+def dense_most_similar(vectors: DataFrame, queries: DataFrame, n: int = 10, dim: int | None = None, include_self: bool = True, digits: int | None = None) -> DataFrame:
+    """(q, id, score, rank): the n vectors of the highest product with each query (q, qvec); q is the query's own id."""
+    found = dense_best(vectors, queries.select("q", F.lit(1).alias("sign"), "qvec"), n, dim, include_self=include_self, digits=digits)
+    return top(found, n, high_ids_first=include_self, digits=digits)
 
 
 def mean_query(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
@@ -160,25 +234,16 @@ def mean_query(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
     return total.select("q", V.unit(F.col("s"), V.norm(F.col("s"), dim)).alias("qvec"))
 
 
-def dense_add(vectors: DataFrame, queries: DataFrame, dim: int, n: int = 10, batch: int | None = None, digits: int | None = None) -> DataFrame:
+def dense_add(vectors: DataFrame, queries: DataFrame, dim: int, n: int = 10, digits: int | None = None) -> DataFrame:
     """Best vectors by the product with the unit mean of each query's signed vectors; the query's own words may be among them."""
-    pairs = vectors.crossJoin(_asked(mean_query(vectors, queries, dim), batch))
-    return top(pairs.select("q", "id", V.dot(F.col("vec"), F.col("qvec"), dim).alias("score")), n, digits=digits)
+    asked = mean_query(vectors, queries, dim).withColumn("sign", F.lit(1))
+    return top(dense_best(vectors, asked, n, dim, digits=digits), n, digits=digits)
 
 
-def dense_mul(vectors: DataFrame, queries: DataFrame, dim: int, n: int = 10, batch: int | None = None, digits: int | None = None) -> DataFrame:
-    """Best vectors by the product of (cos + 1) / 2 to the positive over that to the negative query vectors (plus 0.01).
-
-    The query vectors travel as arrays, so each pair of query and vector is one row and nothing
-    but the queries is grouped.
-    """
-    rows = queries.join(vectors.select(F.col("id").alias("word"), "vec"), "word")
-    asked = rows.groupBy("q").agg(
-        F.collect_list(F.when(F.col("sign") > 0, F.col("vec"))).alias("positive"), F.collect_list(F.when(F.col("sign") < 0, F.col("vec"))).alias("negative")
-    )
-    part = "aggregate({0}, 1.0D, (a, p) -> a * (aggregate(zip_with(p, vec, (x, y) -> x * y), 0.0D, (s, z) -> s + z) + 1) / 2)"
-    score = F.expr(part.format("positive")) / (F.expr(part.format("negative")) + F.lit(EPSILON))
-    return top(vectors.crossJoin(_asked(asked, batch)).select("q", "id", score.alias("score")), n, digits=digits)
+def dense_mul(vectors: DataFrame, queries: DataFrame, dim: int, n: int = 10, digits: int | None = None) -> DataFrame:
+    """Best vectors by the product of (cos + 1) / 2 to the positive over that to the negative query vectors (plus 0.01)."""
+    asked = queries.join(vectors.select(F.col("id").alias("word"), F.col("vec").alias("qvec")), "word").select("q", "sign", "qvec")
+    return top(dense_best(vectors, asked, n, dim, product=True, digits=digits), n, digits=digits)
 
 
 def most_similar_vectors(table: DataFrame, queries: DataFrame, n: int = 10, objective: str = "add", dim: int | None = None, digits: int | None = None) -> DataFrame:
@@ -199,10 +264,8 @@ def without(scored: DataFrame, excluded: DataFrame) -> DataFrame:
 def nearest_in_set(vectors: DataFrame, dim: int | None = None, group: str | None = None, digits: int | None = None) -> DataFrame:
     """(id, other, score): for each vector the best other one, of its own group if there are groups; ties go to the lower id."""
     key = [group] if group else []
-    a = vectors.select(*key, F.col("id").alias("q"), F.col("vec").alias("qvec"))
-    b = vectors.select(*key, "id", "vec")
-    pairs = (a.join(b, key) if key else a.crossJoin(b)).where("q <> id")
-    scored = pairs.select(*key, "q", "id", V.dot(F.col("qvec"), F.col("vec"), dim).alias("score"))
+    asked = vectors.select(*key, F.col("id").alias("q"), F.lit(1).alias("sign"), F.col("vec").alias("qvec"))
+    scored = dense_best(vectors.select(*key, "id", "vec"), asked, 1, dim, group, include_self=False, digits=digits)
     score: Column = F.round("score", digits) if digits is not None else F.col("score")
     ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(*key, "q").orderBy(score.desc(), "id"))).where("r = 1")
     return ranked.select(*key, F.col("q").alias("id"), F.col("id").alias("other"), "score")

@@ -5,10 +5,14 @@ Input tables are (doc_id, tokens) with one row a sentence or document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.text import Tokenizer, tokenizer
 
@@ -29,10 +33,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted)
 
 
+def tokens_of(text: str, choice: str | Tokenizer = "v2") -> Column:
+    """The tokens of a column; of null none."""
+    return F.coalesce(tokenizer(choice)(F.col(text)), F.array().cast("array<string>"))
+
+
 def tokenize(docs: DataFrame, choice: str | Tokenizer = "v2", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tokens); a null text has no tokens."""
-    tokens = tokenizer(choice)(F.col(text))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+    return docs.select(F.col(doc_id).alias("doc_id"), tokens_of(text, choice).alias("tokens"))
 
 
 def token_stats(tokens: DataFrame, *by: str) -> DataFrame:
@@ -83,18 +91,39 @@ def merge(stats: DataFrame, per_file: int | None = None) -> DataFrame:
     )
 
 
-def encode_long(tokens: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """(doc_id, pos, id): tokens that aren't in the vocabulary have the id `size`."""
-    long = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    ids = bounded(vocab.select("token", "id"), size)
-    return long.join(ids, "token", "left").select("doc_id", "pos", F.coalesce("id", F.lit(size)).cast("int").alias("id"))
+def encode(tokens: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
+    """(doc_id, ids) of documents with tokens; tokens that aren't in the vocabulary have the id `size`.
 
+    A vocabulary of up to BROADCAST_ROWS words is sent to the executors and looked up inside each
+    row, so nothing is shuffled; beyond that each token meets its word in a join.
+    """
+    some = tokens.where(F.size("tokens") > 0)
+    if size > BROADCAST_ROWS:
+        long = some.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode("tokens").alias("pos", "token"))
+        found = long.join(vocab.select("token", "id"), "token", "left").select("row", "doc_id", "pos", F.coalesce("id", F.lit(size)).cast("int").alias("id"))
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+        return found.groupBy("row", "doc_id").agg(ids.alias("ids")).drop("row")
+    known = vocab.select("token", "id").toArrow()
+    shared = tokens.sparkSession.sparkContext.broadcast((known["token"].combine_chunks().cast(pa.string()), known["id"].combine_chunks().cast(pa.int32())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers = shared.value
+        words, numbers = pa.concat_arrays([words, pa.array([None], words.type)]), pa.concat_arrays([numbers, pa.array([size], numbers.type)])
+        for batch in batches:
+            lists = batch.column(1)
+            at = pa.compute.fill_null(pa.compute.index_in(lists.flatten().cast(words.type), value_set=words[: len(words) - 1]), len(words) - 1)
+            counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            offsets = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=offsets[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), numbers.take(at))], names=["doc_id", "ids"])
+
+    schema = T.StructType([T.StructField("doc_id", tokens.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return some.select("doc_id", "tokens").mapInArrow(run, schema)
 
-def encode(tokens: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """(doc_id, ids) of documents with tokens; see encode_long. One shuffle, of ids only."""
-    long = encode_long(tokens, vocab, size)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
-    return long.groupBy("doc_id").agg(ids.alias("ids"))
+
+def encode_long(tokens: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
+    """(doc_id, pos, id); see encode."""
+    return encode(tokens, vocab, size).select("doc_id", F.posexplode("ids").alias("pos", "id"))
 
 
 def token_counts(ids: DataFrame) -> DataFrame:

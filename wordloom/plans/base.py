@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import cooc, ppmi, vocab
+from wordloom.sources import shared
 
 #: Up to this many rows a vocabulary is held by the driver, so that it is computed once.
 DRIVER_ROWS = 200_000
@@ -35,22 +36,23 @@ class Encoded:
 
 
 def settled(frame: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
-    """A vocabulary that isn't computed again, and its size: held by the driver if `rows` bounds it, else cached."""
+    """A vocabulary that isn't computed again, and its size: held by the driver if `rows` bounds it, else written."""
     if rows is not None and rows <= DRIVER_ROWS:
         held = frame.toArrow()
         return frame.sparkSession.createDataFrame(held), held.num_rows
-    frame = frame.persist()
+    frame = shared.save(frame, "vocab")
     return frame, frame.count()
 
 
 def encode(toks: DataFrame, keep_n: int | None = 50_000, **options) -> Encoded:
+    """The corpus and its vocabulary; the ids are written once."""
     words, size = settled(vocab.build(toks, keep_n=keep_n, **options), keep_n)
-    return Encoded(vocab.encode(toks, words, size), words, size)
+    return Encoded(shared.save(vocab.encode(toks, words, size), "ids"), words, size)
 
 
 def cells(enc: Encoded, params: cooc.PairParams) -> DataFrame:
-    """Counts, grouped by their first word once, which the steps behind them reuse."""
-    return cooc.count_pairs(enc.ids, enc.size, params)
+    """Counts, written once for the steps behind them."""
+    return shared.save(cooc.count_pairs(enc.ids, enc.size, params), "cells")
 
 
 def sppmi(enc: Encoded, params: cooc.PairParams, cds: float = ppmi.CDS, neg: float | None = 1, normalize: bool = True) -> DataFrame:

@@ -86,6 +86,24 @@ def read_tsv(path: Path, kind: str) -> list[tuple[int, list[str]]]:
     return rest
 
 
+def lint_tsv(path: Path, kind: str) -> list[tuple[int, str]]:
+    """(line, problem) of all that read_tsv would refuse, and not only of the first: header, comment, width, empty, score."""
+    body = [(i, t) for i, t in enumerate(path.read_text(encoding="utf-8").split("\n"), 1) if t.strip()]
+    while body and body[0][1].strip().startswith("#"):
+        body.pop(0)
+    if not body:
+        return [(1, "header")]
+    (first, header), *rest = [(i, next(csv.reader([t], delimiter="\t"))) for i, t in body]
+    try:
+        width, out = len(_expected(path, kind, header, first)), []
+    except MalformedDatasetError:
+        width, out = len(header), [(first, "header")]
+    for line, fields in rest:
+        tests = {"comment": fields[0].strip().startswith("#"), "width": len(fields) != width, "empty": "" in fields, "score": kind == "ws" and len(fields) == 3 and not _finite(fields[2])}
+        out += [(line, problem) for problem, broken in tests.items() if broken]
+    return out
+
+
 def _finite(text: str) -> bool:
     try:
         return math.isfinite(float(text))

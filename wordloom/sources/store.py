@@ -19,6 +19,11 @@ def complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
