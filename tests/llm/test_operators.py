@@ -109,6 +109,22 @@ def test_url_filter(spark):
         assert got[i] == (s, f, kinds, sum(n[t] * (strict | soft)[t] for t in n), s > 0 or kinds >= 2)
 
 
+def test_keep_urls_keeps_values_of_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/casino", 5, True), (2, "http://a.com/x", 77, True), (3, None, None, None)], "page_id long, url string, score int, rejected boolean")
+    assert sorted(map(tuple, url_filter.keep_urls(pages).collect()), key=str) == [(2, "http://a.com/x", 77, True), (3, None, None, None)]
+    assert {x.page_id: (x.score > 0, x.rejected) for x in url_filter.score_urls(pages).collect()} == {1: (True, True), 2: (False, False), 3: (False, False)}
+
+
+def test_vocabulary_from_tables(spark, tmp_path):
+    rows = [("Bad", 3, True), ("bad", 9, False), ("meh", 2, False), (None, 1, True), ("meh", 4, None), ("", 1, True)]
+    spark.createDataFrame(rows, "term string, weight int, strict boolean").write.parquet(str(tmp_path / "v"))
+    assert url_filter.read_vocabulary(spark, str(tmp_path / "v")) == ({"bad": 3}, {"meh": 4})
+    (tmp_path / "v.tsv").write_text("# terms\nbad\t3\tstrict\nmeh\t2\tsoft\nplain\n")
+    assert url_filter.read_vocabulary(spark, str(tmp_path / "v.tsv")) == ({"bad": 3}, {"meh": 2, "plain": 1})
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary(spark, str(tmp_path / "v.tsv"), 2)
+
+
 # ---- 3
 
 
@@ -150,6 +166,35 @@ def test_topk_search(spark, k, blocks, rows):
     assert topk_search.search(spark, table.where("false")).count() == 0
 
 
+def test_topk_of_some_queries_and_large_values(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((300, 8)), 1e30 * r.standard_normal((5, 8))])
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for f in topk_search.search(spark, table, 4, 2, 64, every=50).collect():
+        got.setdefault(f.query_id, {})[f.rank] = f.neighbour_id
+    assert set(got) == {0, 50, 100, 150, 200, 250, 300}
+    for q, ranks in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [ranks[i + 1] for i in range(4)] == np.argsort(-score, kind="stable")[:4].tolist()
+
+
+def test_topk_reads_lists_only_down_to_the_threshold():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((4000, 8)) * r.pareto(2.0, (4000, 1))
+    ids, k = np.arange(4000), 5
+    for blocks in (1, 2, 4):
+        lists = topk_search._Lists(x, blocks)
+        cut = topk_search.cutoffs(np.arange(20), ids, x, k, blocks)
+        q, n, score = topk_search.search_cell(ids[:20], x[:20], cut, ids, lists, k)
+        assert lists.read < 0.8 * 20 * 4000 * blocks
+        for i in range(20):
+            want = (x @ x[i]).round(6)
+            want[i] = -np.inf
+            assert np.allclose(np.sort(score[q == i])[::-1], np.sort(want)[::-1][:k])
+
+
 # ---- 5
 
 

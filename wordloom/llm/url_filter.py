@@ -14,18 +14,33 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SOFT_LIMIT = 2
 
-#: term -> weight
-STRICT: dict[str, int] = {"adult": 5, "casino": 5, "escort": 5, "poker": 4, "porn": 9, "sex": 6, "spam-farm": 8, "viagra": 7, "warez": 5, "xxx": 9}
-SOFT: dict[str, int] = {
-    "ads": 1, "bet": 2, "bets": 2, "bonus": 1, "cheap": 1, "click": 1, "coupon": 1, "deal": 1, "discount": 1, "farm": 1, "free": 1, "jackpot": 3,
-    "loan": 2, "lottery": 3, "pill": 2, "pills": 2, "prize": 2, "replica": 2, "spam": 2, "torrent": 2, "track": 1, "win": 1, "winner": 2,
-}
+#: weight -> terms
+_STRICT = {
+    9: "bestiality gangbang hardcoresex hardporn hentai porn pornhub porno pornstar redtube xnxx xvideos xxx xxxvideo youporn",
+    8: "bdsm blowjob camgirl camgirls cumshot deepthroat fetish milf nudes sexcam sexchat sexdating spam-farm upskirt",
+    7: "cialis escorts escortservice levitra nembutal tramadol viagra xanax-online",
+    6: "adultdating adultfriend crackz hookup-site keygen serialz sex sexe sexo stripper striptease",
+    5: "adult casino casinos escort nulled onlinecasino pirated slotgame sportsbook warez",
+    4: "baccarat blackjack payday-loan paydayloan poker roulette torrentz",
+}
+_SOFT = {
+    3: "betting bookmaker erotic erotica gambling jackpot lottery nude sexy slots",
+    2: "bet bets cheapest crack cracked dating diet-pills hookup lingerie loan loans naked payday pharmacy pill pills prize replica replicas serial spam torrent torrents weightloss winner",
+    1: "ads affiliate babes bonus buy-now cheap click clickbait clicks coupon coupons deal deals discount discounts earn-money farm free freebie girls giveaway hot mp3 promo singles track traffic win xtra",
+}
+
+#: term -> weight, of a general vocabulary of adult, gambling, pharmacy, piracy and spam terms; a table of one's own can be read by read_vocabulary
+STRICT: dict[str, int] = {t: w for w, terms in _STRICT.items() for t in terms.split()}
+SOFT: dict[str, int] = {t: w for w, terms in _SOFT.items() for t in terms.split()}
+
+#: Most terms of a vocabulary that is read; the automaton goes to every task.
+MAX_TERMS = 200_000
 
 HITS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("strict_hits", "soft_hits", "soft_terms", "score")])
 
@@ -65,18 +80,34 @@ def build(strict: dict[str, int], soft: dict[str, int]) -> ahocorasick.Automaton
     return automaton
 
 
-def score_urls(pages: DataFrame, strict: dict[str, int] = STRICT, soft: dict[str, int] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """pages with the columns strict_hits, soft_hits, soft_terms, score and rejected (earlier ones of these names are replaced).
+def read_vocabulary(spark: SparkSession, path: str, max_terms: int = MAX_TERMS) -> tuple[dict[str, int], dict[str, int]]:
+    """(strict, soft) of a table (term string, weight int, strict boolean) in Parquet, or of lines `term TAB weight TAB strict|soft`.
 
-    A null or empty URL has no hits and isn't rejected. Repeated rows are judged alike. All rows
-    are kept.
+    Null and repeated terms: rows without a term are skipped, and of several the strict and
+    heavier one counts. Terms are lower-cased. More than max_terms raise: every task holds them all.
     """
+    if path.rstrip("/").endswith((".txt", ".tsv")):
+        parts = F.split("value", "\t")
+        table = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(value, '#')").select(
+            F.trim(parts[0]).alias("term"), F.try_element_at(parts, F.lit(2)).cast("int").alias("weight"), (F.trim(F.try_element_at(parts, F.lit(3))) == "strict").alias("strict")
+        )
+    else:
+        table = spark.read.parquet(path)
+    rows = table.select(F.lower(F.trim("term")).alias("term"), F.coalesce("weight", F.lit(1)).alias("weight"), F.coalesce("strict", F.lit(False)).alias("strict")).where("term <> ''")
+    best = rows.groupBy("term").agg(F.max(F.struct("strict", "weight")).alias("m")).select("term", "m.*").limit(max_terms + 1).collect()
+    if len(best) > max_terms:
+        raise ValueError(f"the vocabulary has more than {max_terms} terms")
+    strict = {r.term: int(r.weight) for r in best if r.strict}
+    return strict, {r.term: int(r.weight) for r in best if not r.strict}
+
+
+def _counted(pages: DataFrame, strict: dict[str, int], soft: dict[str, int]) -> DataFrame:
+    """The columns of pages under the names __wl_<place>, and the hits."""
     build(strict, soft)
     if not strict and not soft:
         raise ValueError("the vocabulary is empty")
-    names = [*HITS.fieldNames(), "rejected"]
-    rest = [c for c in pages.columns if c.lower() not in names]
-    plain = pages.select(F.col("url").cast("string").alias("__wl_url"), *(F.col("`" + c.replace("`", "``") + "`") for c in rest))
+    cols = [F.col("`" + f.name.replace("`", "``") + "`").alias(f"__wl_{i}") for i, f in enumerate(pages.schema.fields)]
+    plain = pages.select(F.col("url").cast("string").alias("__wl_url"), *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build(strict, soft)
@@ -85,16 +116,32 @@ def score_urls(pages: DataFrame, strict: dict[str, int] = STRICT, soft: dict[str
             hits = [pa.array([f[i] for f in found], pa.int32()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *hits], names=[*batch.schema.names[1:], *HITS.fieldNames()])
 
-    schema = T.StructType([*plain.schema.fields[1:], *HITS.fields])
-    return plain.mapInArrow(run, schema).withColumn("rejected", (F.col("strict_hits") > 0) | (F.col("soft_terms") >= soft_limit))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields[1:], *HITS.fields]))
+
+
+def _rejected(soft_limit: int) -> Column:
+    return (F.col("strict_hits") > 0) | (F.col("soft_terms") >= soft_limit)
+
+
+def score_urls(pages: DataFrame, strict: dict[str, int] = STRICT, soft: dict[str, int] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+    """pages with the columns strict_hits, soft_hits, soft_terms, score and rejected (earlier ones of these names are replaced).
+
+    A null or empty URL has no hits and isn't rejected. Repeated rows are judged alike. All rows
+    are kept.
+    """
+    new = [*HITS.fieldNames(), "rejected"]
+    rest = [F.col(f"__wl_{i}").alias(c) for i, c in enumerate(pages.columns) if c.lower() not in new]
+    return _counted(pages, strict, soft).select(*rest, *HITS.fieldNames(), _rejected(soft_limit).alias("rejected"))
 
 
-def keep_urls(pages: DataFrame, **options) -> DataFrame:
-    """The rows of pages, all columns, whose URL isn't rejected; see score_urls."""
-    return score_urls(pages, **options).where("NOT rejected").select(*(F.col("`" + c.replace("`", "``") + "`") for c in pages.columns))
+def keep_urls(pages: DataFrame, strict: dict[str, int] = STRICT, soft: dict[str, int] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+    """The rows of pages, all columns as they are, whose URL isn't rejected; see score_urls."""
+    kept = _counted(pages, strict, soft).where(~_rejected(soft_limit))
+    return kept.select(*(F.col(f"__wl_{i}").alias(c) for i, c in enumerate(pages.columns)))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits and the judgement of every page's URL."""
     return score_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
