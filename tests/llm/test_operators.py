@@ -44,7 +44,7 @@ def test_others_on_odd_rows(spark):
         assert bpe.encode_column(table).where("round_trip IS NULL OR round_trip").count() == n
         assert language_id.identify(table, language_id.train(table)).count() == n
         assert sharding.assign(table).where("shard IS NOT NULL").count() == n
-        assert packing.pack(spark, table, (8, 64), 64).agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] == sum(len(re.findall(r"[^\t-\r ]+", t or "")) for t in (ODD if n else []))
+        assert packing.pack(spark, table, (8, 64), 64).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] == int(bpe.Codec(bpe.read_vocabulary(bpe.VOCABULARY)).encode([t or "" for t in (ODD if n else [])])[1].sum())
         pages = table.withColumnRenamed("text", "url").withColumn("score", F.lit(1))
         assert url_filter.score_urls(pages).where("NOT rejected").count() == n
         assert url_filter.keep_urls(pages).columns == pages.columns
@@ -321,8 +321,8 @@ def test_packing(spark):
     want = best_fit(pieces, (8, 20, 64))
     windows, seen = {}, Counter()
     for x in rows:
-        windows.setdefault((x.tier, x.window, x.step_group), []).append((x.offset, x.offset + x.n_words))
-        seen.update((x.doc_id, x.first_word + j) for j in range(x.n_words))
+        windows.setdefault((x.tier, x.window, x.step_group), []).append((x.offset, x.offset + x.n_tokens))
+        seen.update((x.doc_id, x.first_token + j) for j in range(x.n_tokens))
     assert seen == Counter((d, j) for d, n in enumerate(sizes) for j in range(n))
     rooms: dict = {}
     load: dict = {}
@@ -335,6 +335,32 @@ def test_packing(spark):
     for tier in rooms:
         counts = [len(v) for (t, _), v in load.items() if t == tier]
         assert max(counts) <= 128 // tier and max(counts) - min(counts) <= 1
+        loads = [sum(v) for (t, _), v in load.items() if t == tier]
+        assert max(loads) - min(loads) <= tier  # at most one window apart
+
+
+def test_packed_windows_hold_all_tokens(spark):
+    r = random.Random(8)
+    table = docs(spark, [words(r, r.randrange(300)) for _ in range(40)] + [None, ""])
+    placed = packing.pack(spark, table, (16, 64, 256), 512)
+    placed.write.mode("overwrite").format("noop").save()
+    at = {(x.doc_id, x.part): (x.tier, x.window, x.offset, x.first_token, x.n_tokens) for x in placed.collect()}
+    made = {(x.tier, x.window): x for x in packing.windows(spark, table, placed).collect()}
+    tokens = {x.doc_id: x.tokens for x in bpe.encode_column(table).collect()}
+    assert sum(len(x.tokens) for x in made.values()) == sum(len(t or []) for t in tokens.values())
+    for (doc, _), (tier, window, offset, first, n) in at.items():
+        assert made[tier, window].tokens[offset : offset + n] == tokens[doc][first : first + n] and len(made[tier, window].tokens) <= tier
+
+
+def test_bpe_of_words_is_that_of_whole_texts():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    parts = ["a", "don't", "'s", "42", "é", "漢", "\u00a0", "\u3000", "\n", " ", "  ", "\t", "\r\n", "!?", "x'll", "\x1c", "\u2028", "🎉", "_", "\x00", "\u0301", "\x85"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(5000)] + [None, "", " ", "\n\n", "x" * 5000]
+    ranks = bpe.read_vocabulary(bpe.VOCABULARY)
+    got, want = bpe.Codec(ranks).encode_texts(pa.array(texts)), bpe.Codec(ranks).encode([t or "" for t in texts])
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
 
 
 # ---- 8

@@ -7,9 +7,12 @@ pair of minimum rank. A merge kills the right position and changes two leaves, t
 merged token and that of its live left neighbour: logarithmic point updates. The merge order is
 that of the public byte-level encoders, and the ids are theirs.
 
-Pieces repeat: each batch encodes its new different pieces only, and a worker keeps those it
-has. The trees of all new pieces of about one length are rows of one array and are updated
-together; a piece longer than `_BATCHED` bytes has a tree of its own.
+Pieces repeat, and so do words with the white space before them, which the pattern cuts into
+pieces without regard to what stands around: each batch encodes its new different words only, of
+these the new different pieces, and a worker keeps what it has. The trees of all new pieces of about
+one length are rows of one array and are updated together; a piece longer than `_BATCHED` bytes
+has a tree of its own. Texts with white space beyond ASCII, where words would be cut otherwise,
+go through the pattern as a whole.
 """
 
 from __future__ import annotations
@@ -21,18 +24,22 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.llm._text import Words, chunks, run_hashes, text_buffers
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space of the pattern's \\s that isn't ASCII white space.
+_ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 _NONE = 1 << 62
 _BATCHED = 64
-#: Characters of text that are encoded at once; a longer text is handled alone.
-_CHARS = 1 << 20
 #: Different pieces that a worker remembers before it forgets all of them.
 _REMEMBER = 1 << 19
 
@@ -80,8 +87,8 @@ class Codec:
         self.start = np.cumsum(sizes) - sizes
         by_rank = sorted(ranks.items(), key=lambda x: x[1])
         self.bytes = np.frombuffer(b"".join(t for t, _ in by_rank), np.uint8)
-        self.known: dict[str, int] = {}
         self._forget()
+        self._forget_words()
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (((key ^ (key >> 32) * 0x9E3779B1) * 0x2545F4914F6CDD1D) >> 20) & self.mask
@@ -243,6 +250,58 @@ class Codec:
         ends = np.cumsum([len(f) for f in found])
         return ids[at], np.diff(np.concatenate([[0], per_piece[ends]]))
 
+    def _forget_words(self) -> None:
+        self.words: dict[int, int] = {}
+        self.word_ids, self.word_lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode of a column of texts, null ones being empty; words are known by 64-bit hashes of their bytes and length."""
+        column = column.fill_null("") if column.null_count else column
+        if self.pattern.pattern != PATTERN:
+            return self.encode(column.to_pylist())
+        data, offsets = text_buffers(column)
+        odd = pa.compute.match_substring_regex(column, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        words = Words(data, offsets)
+        has = words.counts > 0
+        start = np.empty_like(words.starts)
+        start[1:] = words.ends[:-1]
+        start[words.bounds[:-1][has]] = offsets[:-1][has]
+        # white space behind the last word, or alone
+        tail = offsets[:-1].copy()
+        tail[has] = words.ends[words.bounds[1:][has] - 1]
+        rest = np.flatnonzero(tail < offsets[1:])
+        row, start, end = np.concatenate([words.row, rest]), np.concatenate([start, tail[rest]]), np.concatenate([words.ends, offsets[1:][rest]])
+        order = np.lexsort((start, row))
+        order = order[~odd[row[order]]]
+        row, start, end = row[order], start[order], end[order]
+        if not len(row):
+            ids, counts = np.zeros(0, np.int32), np.zeros(len(column), np.int64)
+        else:
+            unique, first, inverse = np.unique(run_hashes(data, start, end), return_index=True, return_inverse=True)
+            if len(self.words) > _REMEMBER:
+                self._forget_words()
+            keys = unique.tolist()
+            new = [k for k, h in enumerate(keys) if h not in self.words]
+            if new:
+                at = first[new]
+                got, lengths = self.encode([data[a:b].tobytes().decode() for a, b in zip(start[at].tolist(), end[at].tolist())])
+                self.words.update(zip((keys[k] for k in new), range(len(self.words), len(self.words) + len(new))))
+                self.word_ids, self.word_lengths = np.concatenate([self.word_ids, got.astype(np.int32)]), np.concatenate([self.word_lengths, lengths])
+            number = np.fromiter(map(self.words.__getitem__, keys), np.int64, len(keys))[inverse]
+            count = self.word_lengths[number]
+            heads = (np.cumsum(self.word_lengths) - self.word_lengths)[number]
+            stop = np.cumsum(count)
+            ids = self.word_ids[np.repeat(heads - (stop - count), count) + np.arange(stop[-1])]
+            counts = np.bincount(row, weights=count, minlength=len(column)).astype(np.int64)
+        if odd.any():
+            more, lengths = self.encode(column.filter(pa.array(odd)).to_pylist())
+            counts[odd] = lengths
+            of_odd = np.repeat(odd, counts)
+            out = np.empty(len(of_odd), np.int32)
+            out[of_odd], out[~of_odd] = more, ids
+            ids = out
+        return ids, counts
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts in a row, number of bytes of each) of `counts` ids each."""
         size = self.size[ids]
@@ -253,19 +312,6 @@ class Codec:
         return self.bytes[at], np.diff(edges)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about _CHARS characters each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and size + n > _CHARS:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 _codecs: dict[tuple[int, int, str], Codec] = {}
 
 
@@ -300,25 +346,40 @@ def encode_column(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _slices(texts):
-                part = [t or "" for t in texts[a:b]]
-                ids, counts = codec.encode(part)
-                raw, sizes = codec.decode(ids, counts)
-                null = np.array([t is None for t in texts[a:b]])
-                ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                data = raw.tobytes()
-                same = [None if t is None else data[s:e] == t.encode() for t, s, e in zip(texts[a:b], ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns[1:], _lists(ids, counts, null), pa.array(counts.astype(np.int32)), pa.array(same, pa.bool_())],
-                    names=[*batch.schema.names[1:], "tokens", "n_tokens", "round_trip"],
-                )
+        for batch in chunks(batches, "__wl_text"):
+            column = batch.column(0)
+            ids, counts = codec.encode_texts(column)
+            raw, sizes = codec.decode(ids, counts)
+            data, offsets = text_buffers(column)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            if np.array_equal(ends, offsets) and np.array_equal(raw, data):
+                same = np.ones(len(column), bool)
+            else:
+                same = np.array([np.array_equal(raw[s:e], data[a:b]) for s, e, a, b in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:])], bool)
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], _lists(ids, counts, null), pa.array(counts.astype(np.int32)), pa.array(same, pa.bool_(), mask=null)],
+                names=[*batch.schema.names[1:], "tokens", "n_tokens", "round_trip"],
+            )
 
     new = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields[1:], *new]))
 
 
+def token_counts(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """df without `text`, with `n_tokens`, the number of its text's ids (0 for a null text); the ids themselves are not kept."""
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    plain = df.select(F.col("text").cast("string").alias("__wl_text"), *_others(df, "text", ("n_tokens",)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, pattern)
+        for batch in chunks(batches, "__wl_text"):
+            _, counts = codec.encode_texts(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts)], names=[*batch.schema.names[1:], "n_tokens"])
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields[1:], T.StructField("n_tokens", T.LongType())]))
+
+
 def decode_column(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """df without `tokens`, with `text`, the text of the ids. Null tokens give a null text; bytes that are no UTF-8 become U+FFFD, unknown or null ids raise."""
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -343,4 +404,5 @@ def decode_column(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's text, and whether they decode to it."""
     return encode_column(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,15 +1,15 @@
 """Operator 7: hierarchical packing of documents into windows of several lengths.
 
-Lengths are words (maximal runs without ASCII white space). A document goes to the shortest
+Lengths are tokens of the byte-level BPE of operator 9. A document goes to the shortest
 tier whose windows hold it; one that is longer than the longest windows is cut into pieces of
 that length and a rest, which goes to its own tier. Tiers are packed from the longest to the
 shortest by best fit, longest pieces first; then the gaps of a tier's windows are filled with
 pieces of the shorter tiers, again the longest first, each in the window that it fits best,
 before these tiers are packed themselves. Windows of a tier are dealt by falling fill, back and
-forth, to step groups of `step_words` capacity, so that the groups carry about the same load.
+forth, to step groups of `step_tokens` capacity, so that the groups carry about the same load.
 
 Best fit depends on the lengths alone, so it is planned on their histogram, which has no more
-rows than the longest window has words, whatever the size of the corpus: windows of equal
+rows than the longest window has tokens, whatever the size of the corpus: windows of equal
 contents are one entry with a multiplicity. A piece finds its place from its rank among the
 pieces of its length, by arithmetic. Texts are read once, and only ids and lengths are shuffled.
 """
@@ -22,10 +22,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.llm import bpe
 from wordloom.llm._store import Workspace
 
 TIERS = (512, 2048, 8192)
-STEP_WORDS = 65536
+STEP_TOKENS = 65536
 #: The ranks of one length are counted in so many parts, so that a frequent length is spread.
 _PARTS = 32
 
@@ -144,51 +145,66 @@ def slots(planned: dict[int, list[_Windows]]) -> list[tuple[int, int, int, int,
     return out
 
 
-_SLOTS = "slot_words int, lo long, hi long, each int, start int, tier int, first_window long, windows long"
+_SLOTS = "slot_tokens int, lo long, hi long, each int, start int, tier int, first_window long, windows long"
 
 
-def pack(spark: SparkSession, docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_words: int = STEP_WORDS) -> DataFrame:
-    """(doc_id, part, first_word, n_words, tier, window, offset, step_group): where each piece of each document goes.
+def pack(spark: SparkSession, docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, part, first_token, n_tokens, tier, window, offset, step_group): where each piece of each document goes.
 
-    part counts the pieces of a document, first_word is the piece's first word in it, window
-    counts the windows of its tier and step_group those windows' groups. Documents without words
-    (null, empty and blank texts) are not packed. Each row is a document, also one whose doc_id
+    part counts the pieces of a document, first_token is the piece's first token in it, window
+    counts the windows of its tier and step_group those windows' groups. Documents without tokens
+    (null and empty texts) are not packed. Each row is a document, also one whose doc_id
     is null or repeated; rows alike in id and length are interchangeable.
     """
-    if not tiers or list(tiers) != sorted(set(tiers)) or tiers[0] < 1 or step_words < tiers[-1]:
-        raise ValueError("tiers must rise, and step_words hold the longest window")
+    if not tiers or list(tiers) != sorted(set(tiers)) or tiers[0] < 1 or step_tokens < tiers[-1]:
+        raise ValueError("tiers must rise, and step_tokens hold the longest window")
     work, top = Workspace(spark), tiers[-1]
-    words = F.expr(r"regexp_count(cast(text AS string), '[^\\x09-\\x0D\\x20]+')").alias("words")
-    sized = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words).where("words > 0"), "lengths")
+    counted = bpe.token_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), vocabulary)
+    sized = work.save(counted.where("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("tokens")), "lengths")
     pieces = sized.select(
-        "doc_id", "words", F.explode(F.expr(f"sequence(0, cast((words - 1) DIV {top} AS int))")).alias("part")
+        "doc_id", "tokens", F.explode(F.expr(f"sequence(0, cast((tokens - 1) DIV {top} AS int))")).alias("part")
     ).select(
         "doc_id",
         "part",
-        F.expr(f"part * {top}").alias("first_word"),
-        F.expr(f"least({top}, words - part * {top})").cast("int").alias("n_words"),
+        F.expr(f"cast(part AS long) * {top}").alias("first_token"),
+        F.expr(f"least({top}, tokens - cast(part AS long) * {top})").cast("int").alias("n_tokens"),
         F.pmod(F.xxhash64("doc_id", "part"), F.lit(_PARTS)).cast("int").alias("__wl_part"),
     )
-    counts = work.save(pieces.groupBy("n_words", "__wl_part").agg(F.count("*").alias("n")), "counts")
-    lengths = {r["n_words"]: r["n"] for r in counts.groupBy("n_words").agg(F.sum("n").alias("n")).collect()}  # at most `top` rows
+    counts = work.save(pieces.groupBy("n_tokens", "__wl_part").agg(F.count("*").alias("n")), "counts")
+    lengths = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most `top` rows
     table = spark.createDataFrame(slots(plan(lengths, tiers)), _SLOTS)
-    before = Window.partitionBy("n_words").orderBy("__wl_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("n_words", "__wl_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("n_words", "__wl_part").orderBy("doc_id", "part")
-    ranked = pieces.withColumn("at", F.row_number().over(within) - 1).join(base, ["n_words", "__wl_part"]).withColumn("rank", F.col("at") + F.col("base"))
+    before = Window.partitionBy("n_tokens").orderBy("__wl_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("n_tokens", "__wl_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("n_tokens", "__wl_part").orderBy("doc_id", "part")
+    ranked = pieces.withColumn("at", F.row_number().over(within) - 1).join(base, ["n_tokens", "__wl_part"]).withColumn("rank", F.col("at") + F.col("base"))
     # the slots' number is bounded by the longest window, so this side stays small at any size
-    placed = ranked.join(F.broadcast(table), (F.col("n_words") == F.col("slot_words")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    placed = ranked.join(F.broadcast(table), (F.col("n_tokens") == F.col("slot_tokens")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     window = F.expr("first_window + (rank - lo) DIV each")
-    groups = F.expr(f"cast(ceil(windows / ({step_words} DIV tier)) AS long)")
+    groups = F.expr(f"cast(ceil(windows / ({step_tokens} DIV tier)) AS long)")
     turn = F.expr("window DIV groups % 2")
     return (
         placed.withColumn("window", window)
-        .withColumn("offset", F.expr("cast(start + (rank - lo) % each * n_words AS int)"))
+        .withColumn("offset", F.expr("cast(start + (rank - lo) % each * n_tokens AS int)"))
         .withColumn("groups", groups)
         .withColumn("step_group", F.when(turn == 0, F.expr("window % groups")).otherwise(F.expr("groups - 1 - window % groups")))
-        .select("doc_id", "part", "first_word", "n_words", "tier", "window", "offset", "step_group")
+        .select("doc_id", "part", "first_token", "n_tokens", "tier", "window", "offset", "step_group")
     )
 
 
+def windows(spark: SparkSession, docs: DataFrame, placed: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(tier, window, step_group, doc_ids, starts, tokens): the windows themselves; document i's tokens begin at starts[i].
+
+    placed is what pack gave for docs, whose doc_ids must be unique; rows with a null doc_id are
+    left out. A window has at most its tier's tokens, so no group grows with the data.
+    """
+    tokens = bpe.encode_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), vocabulary).select("doc_id", "tokens")
+    pieces = placed.join(tokens, "doc_id").select(
+        "tier", "window", "step_group", F.struct("offset", "doc_id", F.expr("slice(tokens, cast(first_token AS int) + 1, n_tokens)").alias("tokens")).alias("p")
+    )
+    whole = pieces.groupBy("tier", "window", "step_group").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select("tier", "window", "step_group", F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("starts"), F.flatten("p.tokens").alias("tokens"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document goes."""
     return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
