@@ -8,13 +8,18 @@ The suffixes of a whole corpus need not be sorted. Any two equal passages select
 minimiser among their k-word grams, so they meet in the group of that anchor, each inside the
 segment of words that passages around the anchor can cover:
 
-1. one scan emits (anchor, hash of the segment, place), about one row for nine words; anchors
-   that occur once are dropped, which is exact;
+1. one scan emits (anchor, hash of the segment, place), about one row for nine words; of equal
+   segments among the texts at hand only the first goes on, the others being later copies for
+   sure, so that a passage in a large share of all documents is mostly settled before anything
+   is shuffled. Anchors that occur once are dropped, which is exact;
 2. of segments that are equal as a whole the first one stays for comparison and all words of
    the others are covered;
 3. anchors with several distinct segments fetch the words of these, and each group gets its
    suffix array (prefix doubling), and by previous and next smaller places in suffix order
-   the longest previous factor of each place; factors of min_words or more are covered.
+   the longest previous factor of each place; factors of min_words or more are covered;
+4. an anchor with more than `hot` distinct segments would be too large a group: its segments are
+   taken apart into the passages of min_words words that hold the anchor, which is all that can
+   be equal in it, and each passage's occurrences are sorted; all but the first are covered.
 """
 
 from __future__ import annotations
@@ -33,7 +38,11 @@ from wordloom.llm._text import Words, chunks, run_hashes, text_buffers
 MIN_WORDS = 50
 GRAM = 25
 
-_ANCHORS = "anchor long, seg long, doc_id long, place long"
+_ANCHORS = "anchor long, seg long, doc_id long, place long, later boolean"
+#: Distinct segments of an anchor that are compared by a suffix array.
+HOT = 20_000
+#: Anchors of texts that are looked at together.
+_HELD = 1 << 18
 _SEGMENTS = "anchor long, doc_id long, at int, words binary"
 _EDITS = "doc_id long, at int, n int, hash long"
 
@@ -68,49 +77,68 @@ def anchors_of(words: Words, min_words: int, gram: int) -> tuple[np.ndarray, ...
 
 
 def _emit_anchors(min_words: int, gram: int):
+    def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        anchor, seg, doc, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, doc, seg, anchor))
+        anchor, seg, doc, place = anchor[order], seg[order], doc[order], place[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (anchor[1:] == anchor[:-1]) & (seg[1:] == seg[:-1])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        later = (doc != doc[first]) | (place != place[first])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, seg, doc, place, later)], names=["anchor", "seg", "doc_id", "place", "later"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in chunks(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words = Words(*text_buffers(batch.column(1)))
             at, anchor, low, high = anchors_of(words, min_words, gram)
             row = words.row[at]
             place = (at - words.bounds[row]) << 16 | (at - low) << 8 | (high - at)
+            held.append((anchor.astype(np.uint64).view(np.int64), run_hashes(words.hashes, low, high).view(np.int64), ids[row].astype(np.int64), place))
+            size += len(at)
+            if size >= _HELD:
+                yield emit(held)
+                held, size = [], 0
+        if held:
+            yield emit(held)
+
+    return run
+
+
+def _fetch_segments(min_words: int):
+    """Words of the wanted segments: rows (text, doc_id, wanted: list of (anchor, seg, at, n, hot)); of hot ones their passages, each under its own hash and without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            words = Words(*text_buffers(batch.column(0)))
+            row, anchor, seg, at, n, hot = _wanted(batch.column(2), ["anchor", "seg", "at", "n", "hot"])
+            low = words.bounds[row] + at
+            high = np.minimum(low + n, words.bounds[row + 1])
+            fits = (low + n) <= words.bounds[row + 1]
+            same = run_hashes(words.hashes, np.minimum(low, high), high).view(np.int64) == seg
+            keep = np.flatnonzero(fits & same & (hot == 0))
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            raw = words.hashes.tobytes()
+            apart = np.flatnonzero(fits & same & (hot != 0))
+            each = np.maximum(n[apart] - min_words + 1, 0)
+            owner = np.repeat(apart, each)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+            begin = low[owner] + inner
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor.astype(np.uint64).view(np.int64)),
-                    pa.array(run_hashes(words.hashes, low, high).view(np.int64)),
-                    pa.array(ids[row].astype(np.int64)),
-                    pa.array(place),
+                    pa.array(np.concatenate([anchor[keep], run_hashes(words.hashes, begin, begin + min_words).view(np.int64)])),
+                    pa.array(ids[np.concatenate([row[keep], row[owner]])].astype(np.int64)),
+                    pa.array(np.concatenate([at[keep], at[owner] + inner]).astype(np.int32)),
+                    pa.array([raw[8 * a : 8 * b] for a, b in zip(low[keep].tolist(), high[keep].tolist())] + [None] * len(owner), pa.binary()),
                 ],
-                names=["anchor", "seg", "doc_id", "place"],
+                names=["anchor", "doc_id", "at", "words"],
             )
 
     return run
 
 
-def _fetch_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the wanted segments: rows (text, doc_id, wanted: list of (anchor, seg, at, n))."""
-    for batch in chunks(batches, "text"):
-        words = Words(*text_buffers(batch.column(0)))
-        row, anchor, seg, at, n = _wanted(batch.column(2), ["anchor", "seg", "at", "n"])
-        low = words.bounds[row] + at
-        high = np.minimum(low + n, words.bounds[row + 1])
-        fits = (low + n) <= words.bounds[row + 1]
-        same = run_hashes(words.hashes, np.minimum(low, high), high).view(np.int64) == seg
-        keep = np.flatnonzero(fits & same)
-        ids = batch.column(1).to_numpy(zero_copy_only=False)
-        raw = words.hashes.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(anchor[keep]),
-                pa.array(ids[row[keep]].astype(np.int64)),
-                pa.array(at[keep].astype(np.int32)),
-                pa.array([raw[8 * a : 8 * b] for a, b in zip(low[keep].tolist(), high[keep].tolist())], pa.binary()),
-            ],
-            names=["anchor", "doc_id", "at", "words"],
-        )
-
-
 def _wanted(column: pa.Array, fields: list[str]) -> list[np.ndarray]:
     """(row, fields...) of a column of lists of structs; a null list is empty."""
     flat = column.flatten()
@@ -214,9 +242,9 @@ def _compare(min_words: int):
     def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         anchor, doc, at = (t.column(i).to_numpy().astype(np.int64) for i in range(3))
-        blob = pa.concat_arrays(t.column(3).chunks) if t.num_rows else pa.array([], pa.binary())
-        sizes = pa.compute.binary_length(blob).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-        raw = np.frombuffer(b"".join(blob.to_pylist()), dtype=np.uint64)
+        blobs = t.column(3).to_pylist()
+        sizes = np.array([len(b) for b in blobs], np.int64) // 8
+        raw = np.frombuffer(b"".join(blobs), dtype=np.uint64)
         string = np.repeat(np.arange(len(sizes)), sizes)
         heads = np.cumsum(sizes) - sizes
         inner = np.arange(len(raw)) - heads[string]
@@ -246,10 +274,29 @@ def _compare(min_words: int):
             names=["doc_id", "at", "n", "hash"],
         )
 
+    def passages(batch: pa.RecordBatch, before: tuple[int, int, int] | None) -> tuple[pa.RecordBatch, tuple[int, int, int]]:
+        """Edits of the passages that aren't the first of theirs; `before` is the first one (hash, doc_id, at) of the passage that the last batch ended in."""
+        key, doc, at = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        goes_on = before is not None and before[0] == key[0]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        first_doc, first_at = doc[first], at[first]
+        if goes_on:
+            first_doc[first == 0], first_at[first == 0] = before[1], before[2]
+        later = np.flatnonzero((doc != first_doc) | (at != first_at))
+        out = [pa.array(doc[later]), pa.array(at[later].astype(np.int32)), pa.array(np.full(len(later), min_words, np.int32)), pa.array(key[later])]
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "at", "n", "hash"]), (int(key[-1]), int(first_doc[-1]), int(first_at[-1]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
-        for batch in batches:  # sorted by anchor
+        size, last, before = 0, None, None
+        for batch in batches:  # sorted by anchor, doc_id and place
+            bare = batch.column(3).is_null()
+            if bare.true_count:
+                found, before = passages(batch.filter(bare), before)
+                yield found
+                batch = batch.filter(pa.compute.invert(bare))
             anchor = batch.column(0).to_numpy()
             if not len(anchor):
                 continue
@@ -322,7 +369,7 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, work: Workspace | None = None) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, work: Workspace | None = None, hot: int = HOT) -> DataFrame:
     """The words to remove: (doc_id, at, n, hash of these words), by rows that may overlap.
 
     Rows with a null doc_id or text neither lose words nor count as earlier copies. Rows that
@@ -332,45 +379,45 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         raise ValueError("1 <= gram <= min_words <= 200 must hold")
     work = work or Workspace(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = texts.mapInArrow(_emit_anchors(min_words, gram), _ANCHORS)
+    found = work.save(texts.mapInArrow(_emit_anchors(min_words, gram), _ANCHORS), "anchors")
+    left, right = F.expr("cast((place >> 8) & 255 AS int)"), F.expr("cast(place & 255 AS int)")
+    at, n = (F.expr("cast(place >> 16 AS int)") - left).alias("at"), (left + right).alias("n")
+    settled = found.where("later").select("doc_id", at, n, F.col("seg").alias("hash"))
+    found = found.where("NOT later").drop("later")
     by_anchor = Window.partitionBy("anchor")
     marked = (
         found.withColumn("low", F.min("seg").over(by_anchor))
         .withColumn("high", F.max("seg").over(by_anchor))
+        .withColumn("rows", F.count("*").over(by_anchor))
         .withColumn("first_doc", F.first("doc_id").over(Window.partitionBy("anchor", "seg").orderBy("doc_id", "place")))
         .withColumn("first_place", F.first("place").over(Window.partitionBy("anchor", "seg").orderBy("doc_id", "place")))
     )
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
     several: Column = F.col("low") != F.col("high")
-    left, right = F.expr("cast((place >> 8) & 255 AS int)"), F.expr("cast(place & 255 AS int)")
-    spots = work.save(
-        marked.where(~first | several).select(
-            "anchor", "seg", "doc_id", (F.expr("cast(place >> 16 AS int)") - left).alias("at"), (left + right).alias("n"), first.alias("first")
-        ),
-        "spots",
-    )
+    spots = work.save(marked.where(~first | several).select("anchor", "seg", "doc_id", at, n, first.alias("first"), (F.col("rows") > hot).cast("long").alias("hot")), "spots")
     wanted = (
         spots.where("first")
         .dropDuplicates(["anchor", "seg", "doc_id", "at"])
         .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.collect_list(F.struct("anchor", "seg", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("anchor", "seg", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "hot")).alias("wanted"))
     )
-    segments = texts.join(wanted, F.col("doc_id") == F.col("id")).select("text", "doc_id", "wanted").mapInArrow(_fetch_segments, _SEGMENTS)
-    partial = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(min_words), _EDITS)
+    segments = texts.join(wanted, F.col("doc_id") == F.col("id")).select("text", "doc_id", "wanted").mapInArrow(_fetch_segments(min_words), _SEGMENTS)
+    partial = segments.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at").mapInArrow(_compare(min_words), _EDITS)
     whole = spots.where("NOT first").select("doc_id", "at", "n", F.col("seg").alias("hash"))
-    return work.save(whole.unionByName(partial).distinct(), "edits")
+    return work.save(settled.unionByName(whole).unionByName(partial).distinct(), "edits")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs, all rows and columns, whose texts have lost their later copies of passages.
 
     A text shorter than min_words is unchanged, a text that is a later copy as a whole becomes
     the empty string (or its leading white space). Null texts stay null. See repeated_passages.
     """
-    return apply_edits(docs, repeated_passages(spark, docs, min_words, gram))
+    return apply_edits(docs, repeated_passages(spark, docs, min_words, gram, hot=hot))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their later copies of passages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(spark, docs)
 
