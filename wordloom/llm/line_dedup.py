@@ -5,6 +5,10 @@ Every three consecutive lines of a text (parts between line feeds) are one windo
 line number), is a later occurrence; the lines that such windows cover are removed, overlapping
 windows together. Windows of three blank lines are not counted. The texts are never shuffled
 for the search, only hashes; they meet their removed line numbers in one join by doc_id.
+
+A window that a large share of all documents has is spread: its occurrences are compared inside
+`SALTS` groups of documents first, where all but the first are later ones for sure, and only the
+groups' first ones, at most `SALTS` a window, are compared with each other.
 """
 
 from __future__ import annotations
@@ -12,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.llm._store import Workspace
+
 WIDTH = 3
+SALTS = 64
 
 _LINES = "split(text, '\\n', -1)"
 
@@ -42,9 +49,16 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def later_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, sum, starts): the first lines of the windows of each text that occurred at an earlier place."""
-    same = Window.partitionBy("a", "b").orderBy("doc_id", "i")
-    seen = _windows(docs).withColumn("first", F.first(F.struct("doc_id", "i")).over(same))
-    later = seen.where("NOT (doc_id = first.doc_id AND i = first.i)")
+
+
+    def marked(rows: DataFrame, *key: str) -> DataFrame:
+        first = F.first(F.struct("doc_id", "i")).over(Window.partitionBy(*key).orderBy("doc_id", "i"))
+        return rows.withColumn("first", first).withColumn("later", F.expr("NOT (doc_id = first.doc_id AND i = first.i)")).drop("first")
+
+    salted = _windows(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    local = Workspace(docs.sparkSession).save(marked(salted, "a", "b", "salt").drop("salt"), "windows")
+    among = marked(local.where("NOT later").drop("later"), "a", "b")
+    later = local.where("later").unionByName(among).where("later")
     return later.groupBy("doc_id", "sum").agg(F.collect_set("i").alias("starts"))
 
 
@@ -57,12 +71,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     found = later_windows(docs).select(F.col("doc_id").alias("__wl_id"), F.col("sum").alias("__wl_sum"), F.col("starts").alias("__wl_starts"))
     joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("__wl_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__wl_sum")), "left")
-    covered = " OR ".join(f"array_contains(__wl_starts, i - {j})" for j in range(WIDTH))
-    kept = F.expr(f"IF(__wl_starts IS NULL, text, array_join(filter({_LINES}, (x, i) -> NOT ({covered})), '\\n'))")
+    # the lines are bound to a variable, else they would be split again for each; array_except goes by hashes, so a long text takes linear time
+    covered = f"flatten(transform(__wl_starts, s -> sequence(s, s + {WIDTH - 1})))"
+    rest = f"transform(array({_LINES}), l -> transform(array_except(sequence(0, size(l) - 1), {covered}), k -> l[k]))[0]"
+    kept = F.expr(f"IF(__wl_starts IS NULL, text, array_join({rest}, '\\n'))")
     return joined.withColumn("text", kept).select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of later windows."""
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
