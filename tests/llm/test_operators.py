@@ -67,16 +67,36 @@ def brute_repeats(texts, k):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(0, 20_000), (1, 20_000), (2, 2), (3, 0)])
+def test_suffix_dedup(spark, seed, hot):
     r = random.Random(seed)
     shared = [words(r, r.randint(10, 40)) for _ in range(6)]
     texts = [" ".join(r.choice([words(r, r.randint(1, 30)), r.choice(shared)]) for _ in range(r.randint(1, 6))) for _ in range(80)] + ["a " * 50, " a" * 40]
     want = brute_repeats(texts, 12)
-    got = {x.doc_id: x.text for x in suffix_dedup.remove_repeats(spark, docs(spark, texts).repartition(5), 12, 6).collect()}
+    got = {x.doc_id: x.text for x in suffix_dedup.remove_repeats(spark, docs(spark, texts).repartition(5), 12, 6, hot).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [20_000, 50])
+def test_a_passage_in_every_document(spark, hot):
+    r = random.Random(9)
+    license = words(r, 30)
+    short = words(r, 15)  # holds anchors, but no whole passage
+    texts = [" ".join([words(r, r.randrange(20)), license, words(r, 8), short, words(r, r.randrange(20))]) for _ in range(400)]
+    got = {x.doc_id: x.text for x in suffix_dedup.remove_repeats(spark, docs(spark, texts).repartition(6), 20, 10, hot).collect()}
+    assert got == brute_repeats(texts, 20) and sum(license in t for t in got.values()) == 1
+
+
+def test_passages_go_on_over_batches():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    rows = sorted((r.randrange(5), r.randrange(6), r.randrange(4)) for _ in range(200))
+    table = pa.table({"anchor": [x[0] for x in rows], "doc_id": [x[1] for x in rows], "at": pa.array([x[2] for x in rows], pa.int32()), "words": pa.nulls(200, pa.binary())})
+    out = [x for b in suffix_dedup._compare(3)(iter(table.to_batches(7))) for x in zip(b.column(3).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(out) == [x for x in rows if x[1:] != min(y[1:] for y in rows if y[0] == x[0])]
+
+
 def test_longest_previous_factors():
     r = np.random.default_rng(1)
     for _ in range(30):
@@ -288,6 +308,12 @@ def test_line_dedup(spark):
     assert got == want
 
 
+def test_a_window_in_every_document_and_a_long_text(spark):
+    texts = [f"own {i}\nx\ny\nz\nend {i}" for i in range(300)] + ["\n".join(["p", "q", "r"] * 40_000)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(spark, texts).repartition(4)).collect()}
+    assert got[0] == texts[0] and all(got[i] == f"own {i}\nend {i}" for i in range(1, 300)) and got[300] == "p\nq\nr"
+
+
 # ---- 7
 
 
@@ -383,6 +409,46 @@ def test_minhash_groups(spark):
     assert len(set(got.items()) & set(want.items())) >= 0.95 * len(want) and set(got) <= set(want)
 
 
+@pytest.mark.parametrize("block", [16384, 3])
+def test_minhash_links_by_true_similarity(spark, block):
+    r = random.Random(11)
+    base = words(r, 120, 3000).split()
+    texts = []
+    for _ in range(60):  # one family, its members more or less changed, and strangers
+        v = list(base)
+        for _ in range(r.choice([0, 2, 5, 40])):
+            v[r.randrange(120)] = f"w{r.randrange(3000)}"
+        texts += [" ".join(v), words(r, 120, 3000)]
+    shingles = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in map(str.split, texts)]
+    pairs = [(a, b, len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])) for a in range(120) for b in range(a)]
+    found = {x.doc_id: x.keep_doc_id for x in minhash.near_duplicates(spark, docs(spark, texts).repartition(5), block=block).collect()}
+    group = [found.get(i, i) for i in range(120)]
+    assert all(group[a] == group[b] for a, b, j in pairs if j >= 0.75)
+    for i in found:  # nobody is in a group without a neighbour that is about as similar as the threshold asks
+        assert max(j for a, b, j in pairs if i in (a, b) and group[a] == group[b]) >= 0.35
+
+
+def test_superminhash_is_that_of_one_element_after_the_other():
+    r = np.random.default_rng(3)
+    for slots in (16, 128):
+        sets = [r.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 3, 20, 300)]
+        want = []
+        for elements in sets:
+            best = [0xFFFFFFFFFFFFFFFF] * slots
+            for e in elements:
+                base = int(minhash.mix(np.array([e ^ np.uint64(0x9E3779B97F4A7C15)]))[0])
+                perm = list(range(slots))
+                for level in range(slots):  # all ranks, without early stopping
+                    draw = int(minhash.mix(np.array([(base + 0xD1342543DE82EF95 * (2 * level + 1)) % (1 << 64)], np.uint64))[0])
+                    pick = level + ((draw >> 40) * (slots - level) >> 24)
+                    perm[level], perm[pick] = perm[pick], perm[level]
+                    value = level << 56 | int(minhash.mix(np.array([draw], np.uint64))[0]) >> 8
+                    best[perm[level]] = min(best[perm[level]], value)
+            want.append((minhash.mix(np.array(best, np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16))
+        row = np.repeat(np.arange(4), [len(x) for x in sets])
+        assert (minhash.superminhash(row, np.concatenate(sets), 4, slots) == np.array(want)).all()
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(8)
     errors = []

@@ -11,7 +11,8 @@ Banding: documents that agree in all rows of one band are candidates. In each su
 documents are compared by their whole signatures (verification: the share of equal slots is at
 least `threshold`), breadth first from the smallest id: a document that is already reached
 needs no further comparison, so a bucket of thousands of copies takes one comparison each, and
-no pair that could join two parts is left out. The groups are the connected components of all
+no pair that could join two parts is left out. A bucket of more than `block` documents is cut into
+parts, every two of which are compared in a task of their own, so a task's memory is bounded. The groups are the connected components of all
 verified pairs, found by union-find inside partitions and by rounds of star contraction across
 them. The smallest doc_id of a group is the one that stays.
 """
@@ -33,6 +34,8 @@ BANDS = 32
 SHINGLE = 3
 THRESHOLD = 0.55
 SEED = 1
+#: Documents of a bucket that are compared in one task; a task holds two such parts.
+BLOCK = 16384
 
 _U64 = np.uint64
 
@@ -95,7 +98,11 @@ def superminhash(row: np.ndarray, element: np.ndarray, n: int, slots: int = SLOT
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, signature as binary) of the rows with a doc_id and at least one word."""
+    """(doc_id, signature as binary, copy_of) of the rows with a doc_id and at least one word.
+
+    copy_of is the smallest doc_id of the same signature among the texts at hand, so that a text
+    that makes up a large share of all rows is mostly grouped before anything is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
@@ -103,13 +110,15 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS, seed
             row, element = element_sets(words, shingle)
             signature = superminhash(row, element, batch.num_rows, slots, seed)
             has = np.flatnonzero(words.counts > 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(has)), pa.array([s.tobytes() for s in signature[has]], pa.binary())],
-                names=["doc_id", "signature"],
-            )
+            ids = batch.column(0).to_numpy()[has]
+            raw = [s.tobytes() for s in signature[has]]
+            least: dict[bytes, int] = {}
+            for s, i in zip(raw, ids.tolist()):
+                least[s] = min(i, least.get(s, i))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array([least[s] for s in raw], pa.int64())], names=["doc_id", "signature", "copy_of"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return texts.mapInArrow(run, "doc_id long, signature binary")
+    return texts.mapInArrow(run, "doc_id long, signature binary, copy_of long")
 
 
 def _similar(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -144,19 +153,19 @@ def _bucket_run(threshold: float):
             ids = np.concatenate([h[0] for h in held])
             return bucket_edges(ids, np.concatenate([h[1] for h in held]), threshold) if len(ids) > 1 else []
 
-        for batch in batches:  # sorted by bucket
-            bucket = batch.column(0).to_numpy()
+        for batch in batches:  # sorted by bucket and cell
+            bucket, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(bucket):
                 continue
-            ids = batch.column(1).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(ids), -1)
-            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            ids = batch.column(2).to_numpy()
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(len(ids), -1)
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
             out: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-                if bucket[a] != last:
+                if (bucket[a], cell[a]) != last:
                     out += close()
                     held.clear()
-                    last = bucket[a]
+                    last = (bucket[a], cell[a])
                 held.append((ids[a:b], raw[a:b]))
             yield _pairs(out)
         yield _pairs(close())
@@ -233,6 +242,7 @@ def near_duplicates(
     slots: int = SLOTS,
     bands: int = BANDS,
     seed: int = SEED,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, keep_doc_id) of every document that goes, with the one that stays for its group.
 
@@ -245,16 +255,22 @@ def near_duplicates(
     work = Workspace(spark)
     signed = work.save(signatures(docs, shingle, slots, seed), "signatures")
     # documents of equal signatures are copies: one of them stands for all in the buckets
-    first = signed.groupBy("signature").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n"))
-    same = signed.join(first.where("n > 1").select("signature", "keep"), "signature").where("doc_id <> keep").select(F.col("keep").alias("a"), F.col("doc_id").alias("b"))
+    near_by = signed.where("doc_id <> copy_of").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
+    alone = signed.where("doc_id = copy_of").select("doc_id", "signature")
+    first = alone.groupBy("signature").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n"))
+    same = alone.join(first.where("n > 1").select("signature", "keep"), "signature").where("doc_id <> keep").select(F.col("keep").alias("a"), F.col("doc_id").alias("b"))
     size = 2 * slots // bands
     unique = first.select(F.col("keep").alias("doc_id"), "signature")
     band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("signature", i * size + 1, size)) for i in range(bands)))).alias("bucket")
     # only (bucket, id) is shuffled for all; signatures travel for buckets of several documents
-    shared = unique.select(band, "doc_id").withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "doc_id")
-    rows = shared.join(unique, "doc_id").select("bucket", "doc_id", "signature")
-    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_run(threshold), "a long, b long")
-    edges = work.save(same.unionByName(found).where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
+    shared = unique.select(band, "doc_id").withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "doc_id", "n")
+    # a bucket of more than `block` documents is cut into g parts, and every two parts meet in a cell of their own
+    cells = f"""IF(n <= {block}, array(0L), transform(
+        array_remove(sequence(0L, (n - 1) DIV {block}), pmod(xxhash64(doc_id), (n - 1) DIV {block} + 1)),
+        o -> least(o, pmod(xxhash64(doc_id), (n - 1) DIV {block} + 1)) * ((n - 1) DIV {block} + 1) + greatest(o, pmod(xxhash64(doc_id), (n - 1) DIV {block} + 1))))"""
+    rows = shared.select("bucket", "doc_id", F.explode(F.expr(cells)).alias("cell")).join(unique, "doc_id").select("bucket", "cell", "doc_id", "signature")
+    found = rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_bucket_run(threshold), "a long, b long")
+    edges = work.save(near_by.unionByName(same).unionByName(found).where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
     return components(spark, edges, work)
 
 
@@ -265,4 +281,5 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> Dat
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that goes as a near duplicate, with the one that stays."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
