@@ -49,11 +49,31 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+#: Values whose sums are held at once; bounds the memory of hashing a long text.
+_BLOCK = 1 << 19
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of values[s:e] for each pair (s, e); equal runs hash alike wherever they stand."""
+    if len(values) <= _BLOCK:
+        return _run_hashes(values, starts, ends)
+    out = np.empty(len(starts), dtype=U64)
+    block = starts // _BLOCK
+    order = np.argsort(block, kind="stable")
+    cuts = np.flatnonzero(np.diff(block[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        low, high = int(starts[at].min()), int(ends[at].max())
+        out[at] = _run_hashes(values[low:high], starts[at] - low, ends[at] - low)
+    return out
+
+
+def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum((values.astype(U64, copy=False) + U64(1)) * up[:-1], dtype=U64, out=sums[1:])
+    terms = values.astype(U64, copy=True)
+    terms += U64(1)
+    terms *= up[:-1]
+    np.cumsum(terms, dtype=U64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

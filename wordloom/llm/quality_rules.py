@@ -75,11 +75,16 @@ class Texts:
     def count(self, kind: str) -> np.ndarray:
         """Bytes of a class in each text."""
         if kind not in self._counts:
-            sums = np.zeros(len(self.data) + 1, np.int64)
-            np.cumsum(_CLASSES[kind][self.data], out=sums[1:])
-            self._counts[kind] = np.diff(sums[self.offsets])
+            self._counts[kind] = self._sums(_CLASSES[kind][self.data])
         return self._counts[kind]
 
+    def _sums(self, per_byte: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, np.int64)
+        rows = np.flatnonzero(np.diff(self.offsets))
+        if len(rows):
+            out[rows] = np.add.reduceat(per_byte, self.offsets[rows], dtype=np.int64)
+        return out
+
     @cached_property
     def words(self) -> Words:
         return Words(self.data, self.offsets, lower=True)
@@ -98,9 +103,7 @@ class Texts:
         heads = self.offsets[:-1]
         heads = heads[heads < len(solid)]
         begins[heads] = solid[heads]
-        sums = np.zeros(len(begins) + 1, np.int64)
-        np.cumsum(begins, out=sums[1:])
-        return np.diff(sums[self.offsets])
+        return self._sums(begins)
 
     @cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:

@@ -340,9 +340,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(start):
                 np.add.at(change, words.starts[start], 1)
                 np.add.at(change, until[end - 1], -1)
-            kept = np.cumsum(change[:-1]) == 0
-            sizes = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(kept, out=sizes[1:])
+            kept = np.cumsum(change[:-1], dtype=np.int32) == 0
+            sizes = np.zeros(len(data) + 1, np.int32)  # a text column of a batch has less than 2**31 bytes
+            np.cumsum(kept, dtype=np.int32, out=sizes[1:])
             texts = pa.Array.from_buffers(
                 pa.string(),
                 batch.num_rows,
