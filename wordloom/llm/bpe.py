@@ -40,8 +40,8 @@ _ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 
 _NONE = 1 << 62
 _BATCHED = 64
-#: Different pieces that a worker remembers before it forgets all of them.
-_REMEMBER = 1 << 19
+#: Different words (32 bytes each) and pieces (some 250) that a worker remembers before it forgets all of them.
+_REMEMBER, _REMEMBER_PIECES = 1 << 19, 1 << 15
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -231,7 +231,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        if len(self.known) > _REMEMBER:
+        if len(self.known) > _REMEMBER_PIECES:
             self._forget()
         found = [self.pattern.findall(t) for t in texts]
         pieces = list(chain.from_iterable(found))
@@ -251,11 +251,32 @@ class Codec:
         return ids[at], np.diff(np.concatenate([[0], per_piece[ends]]))
 
     def _forget_words(self) -> None:
-        self.words: dict[int, int] = {}
-        self.word_ids, self.word_lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """encode of a column of texts, null ones being empty; words are known by 64-bit hashes of their bytes and length."""
+        #: Hashes of the words known, in order, and the word's number for each; ids and their counts by number.
+        self.word_keys, self.word_number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.word_ids, self.word_lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the words data[s:e], new ones being encoded and remembered."""
+        unique, first, inverse = np.unique(run_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.word_keys) > _REMEMBER:
+            self._forget_words()
+        at = np.searchsorted(self.word_keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.word_keys)
+        known[inside] = self.word_keys[at[inside]] == unique[inside]
+        number = np.empty(len(unique), np.int32)
+        number[known] = self.word_number[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
+            got, lengths = self.encode([data[a:b].tobytes().decode() for a, b in spans])
+            number[new] = np.arange(len(self.word_keys), len(self.word_keys) + len(new))
+            self.word_keys, self.word_number = np.insert(self.word_keys, at[new], unique[new]), np.insert(self.word_number, at[new], number[new])
+            self.word_ids, self.word_lengths = np.concatenate([self.word_ids, got.astype(np.int32)]), np.concatenate([self.word_lengths, lengths.astype(np.int32)])
+        return number[inverse]
+
+    def encode_texts(self, column: pa.Array, only_counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """encode of a column of texts, null ones being empty; words are known by 64-bit hashes of their bytes and length. With only_counts there are no ids."""
         column = column.fill_null("") if column.null_count else column
         if self.pattern.pattern != PATTERN:
             return self.encode(column.to_pylist())
@@ -274,32 +295,23 @@ class Codec:
         order = np.lexsort((start, row))
         order = order[~odd[row[order]]]
         row, start, end = row[order], start[order], end[order]
-        if not len(row):
-            ids, counts = np.zeros(0, np.int32), np.zeros(len(column), np.int64)
-        else:
-            unique, first, inverse = np.unique(run_hashes(data, start, end), return_index=True, return_inverse=True)
-            if len(self.words) > _REMEMBER:
-                self._forget_words()
-            keys = unique.tolist()
-            new = [k for k, h in enumerate(keys) if h not in self.words]
-            if new:
-                at = first[new]
-                got, lengths = self.encode([data[a:b].tobytes().decode() for a, b in zip(start[at].tolist(), end[at].tolist())])
-                self.words.update(zip((keys[k] for k in new), range(len(self.words), len(self.words) + len(new))))
-                self.word_ids, self.word_lengths = np.concatenate([self.word_ids, got.astype(np.int32)]), np.concatenate([self.word_lengths, lengths])
-            number = np.fromiter(map(self.words.__getitem__, keys), np.int64, len(keys))[inverse]
-            count = self.word_lengths[number]
-            heads = (np.cumsum(self.word_lengths) - self.word_lengths)[number]
-            stop = np.cumsum(count)
-            ids = self.word_ids[np.repeat(heads - (stop - count), count) + np.arange(stop[-1])]
+        ids, counts = np.zeros(0, np.int32), np.zeros(len(column), np.int64)
+        if len(row):
+            number = self._numbers(data, start, end)
+            count = self.word_lengths[number].astype(np.int64)
             counts = np.bincount(row, weights=count, minlength=len(column)).astype(np.int64)
+            if not only_counts:
+                stop = np.cumsum(count)
+                heads = (np.cumsum(self.word_lengths, dtype=np.int64) - self.word_lengths)[number]
+                ids = self.word_ids[np.repeat(heads - (stop - count), count) + np.arange(stop[-1])]
         if odd.any():
             more, lengths = self.encode(column.filter(pa.array(odd)).to_pylist())
             counts[odd] = lengths
-            of_odd = np.repeat(odd, counts)
-            out = np.empty(len(of_odd), np.int32)
-            out[of_odd], out[~of_odd] = more, ids
-            ids = out
+            if not only_counts:
+                of_odd = np.repeat(odd, counts)
+                out = np.empty(len(of_odd), np.int32)
+                out[of_odd], out[~of_odd] = more, ids
+                ids = out
         return ids, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,8 +385,8 @@ def token_counts(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PAT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for batch in chunks(batches, "__wl_text"):
-            _, counts = codec.encode_texts(batch.column(0))
+        for batch in chunks(batches, "__wl_text", 1 << 20):
+            _, counts = codec.encode_texts(batch.column(0), only_counts=True)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts)], names=[*batch.schema.names[1:], "n_tokens"])
 
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields[1:], T.StructField("n_tokens", T.LongType())]))
