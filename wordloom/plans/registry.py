@@ -223,10 +223,10 @@ def _pmi_marginals(spark, sf_dir):
 
 
 def _epmi(name: str, cds: float) -> None:
-    @_query(name, O.query(O.matrix(KEEP_N, cds=cds), select="SELECT w, c, round(epmi, 6) AS epmi FROM pmi"))
+    @_query(name, O.query(O.matrix(KEEP_N, cds=cds), select="SELECT w, c, round(epmi, 3) AS epmi FROM pmi"))
     def run(spark, sf_dir):
         enc, counts = _counted(spark, sf_dir)
-        return rounded(ppmi.exp_pmi(counts, enc.size, cds), "epmi")
+        return rounded(ppmi.exp_pmi(counts, enc.size, cds), "epmi", digits=3)  # of hundreds of thousands: finer digits are beyond what sums in another order agree in
 
 
 _epmi("epmi", 0.75)
