@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm._store import Workspace
-from wordloom.llm._text import Words, chunks, mix, run_hashes, text_buffers
+from wordloom.llm._text import Words, chunks, mix, release, run_hashes, text_buffers
 
 SLOTS = 128
 BANDS = 32
@@ -169,6 +169,7 @@ def _bucket_run(threshold: float):
                 held.append((ids[a:b], raw[a:b]))
             yield _pairs(out)
         yield _pairs(close())
+        release()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm._store import Workspace
-from wordloom.llm._text import Words, chunks, run_hashes, text_buffers
+from wordloom.llm._text import Words, chunks, release, run_hashes, text_buffers
 
 MIN_WORDS = 50
 GRAM = 25
@@ -310,6 +310,7 @@ def _compare(min_words: int):
                 last = anchor[a]
         if held:
             yield solve(held)
+        release()
 
     return run
 
