@@ -617,8 +617,9 @@ def _build_synonym(spark, sf_dir):
     "build_category",
     "WITH " + O.tok().replace("tok AS (SELECT doc_id,", "tok AS (SELECT lang AS doc_id,", 1) + """,
     r AS (SELECT (row_number() OVER (ORDER BY token, doc_id))::INT AS line, token AS word, doc_id AS category FROM (SELECT DISTINCT token, doc_id FROM long)),
-    m AS (SELECT *, min(category) OVER (PARTITION BY word) AS a, max(category) OVER (PARTITION BY word) AS b FROM r)
-    SELECT line, word, category FROM m WHERE a = b""",
+    f AS (SELECT *, replace(word, 'ß', 'ss') AS k FROM r),
+    m AS (SELECT *, min(category) OVER (PARTITION BY k) AS a, max(category) OVER (PARTITION BY k) AS b, row_number() OVER (PARTITION BY k ORDER BY line) AS n FROM f)
+    SELECT line, word, category FROM m WHERE a = b AND n = 1""",
 )
 def _build_category(spark, sf_dir):
     from pyspark.sql import Window
