@@ -97,6 +97,39 @@ def test_passages_go_on_over_batches():
     assert sorted(out) == [x for x in rows if x[1:] != min(y[1:] for y in rows if y[0] == x[0])]
 
 
+def test_groups_are_compared_in_bounded_memory():
+    """About 1.2 million words in small groups and one of 2500 segments, over batches that cut groups."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    some = r.integers(0, 2**63, 3000).astype(np.uint64)
+    rows = []
+    for anchor, segments in enumerate([4] * 2500 + [2500] + [4] * 50):
+        core = some[r.integers(0, 3000, 99)]
+        for doc in range(segments):
+            words = core.copy()
+            words[r.integers(0, 99, 2)] = some[r.integers(0, 3000, 2)]
+            rows.append((anchor, doc, int(r.integers(0, 3)) * 40, words.tobytes()))
+    table = pa.table(list(map(list, zip(*rows))), pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.binary())]))
+
+    def edits(t, size):
+        return [x for b in suffix_dedup._compare(50)(iter(t.to_batches(size))) for x in zip(*(c.to_pylist() for c in b.columns))]
+
+    tracemalloc.start()
+    for _ in suffix_dedup._compare(50)(iter(table.to_batches(997))):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    small = table.filter(pa.compute.less(table["anchor"], 40)).combine_chunks()
+    large = table.filter(pa.compute.equal(table["anchor"], 2500)).combine_chunks()
+    both = pa.concat_tables([small, large]).combine_chunks()
+    alone = [x for k in range(40) for x in edits(small.slice(4 * k, 4), 4)] + edits(large, 2500)
+    assert alone and sorted(edits(both, 997)) == sorted(alone)
+
+
 def test_longest_previous_factors():
     r = np.random.default_rng(1)
     for _ in range(30):

@@ -146,6 +146,17 @@ def _wanted(column: pa.Array, fields: list[str]) -> list[np.ndarray]:
     return [row, *(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(fields)))]
 
 
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of the keys from 1 on; equal keys share theirs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
 def suffix_ranks(values: np.ndarray, ends: np.ndarray, limit: int) -> list[tuple[int, np.ndarray]]:
     """(length, rank of each place by its first `length` values) for lengths 1, 2, 4... and limit.
 
@@ -153,47 +164,56 @@ def suffix_ranks(values: np.ndarray, ends: np.ndarray, limit: int) -> list[tuple
     string that holds place i) ranks before all longer ones and equal only to itself in content.
     """
     n = len(values)
-    _, rank = np.unique(values, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
+    rank = _dense(values)
     out = [(1, rank)]
-    length, place = 1, np.arange(n)
+    length = 1
     while length < limit:
         step = min(length, limit - length)
-        ahead = place + step
-        second = np.where(ahead < ends, rank[np.minimum(ahead, n - 1)], 0)
-        _, rank = np.unique(rank * (n + 2) + second, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
+        keys = rank.astype(np.int64)
+        keys *= n + 2
+        inside = np.arange(step, n, dtype=np.int32) < ends[: max(n - step, 0)]
+        keys[: len(inside)] += np.where(inside, rank[step:], 0)
+        rank = _dense(keys)
         length += step
         out.append((length, rank))
     return out
 
 
+#: Places whose common prefixes are measured together.
+_PREFIXES = 1 << 17
+
+
 def longest_previous_factors(values: np.ndarray, ends: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """Length, up to `limit`, of the longest run from each place that also starts at a place earlier in `order`.
 
-    values: the strings' symbols in a row; ends: for each place the end of its string. Places of
-    equal `order` are the same place and don't count as earlier. The suffix array comes from
-    prefix doubling. In suffix order the nearest entry on either side with a smaller order
-    shares the longest prefix that any earlier place shares.
+    values: the strings' symbols in a row, less than 2**31 of them; ends: for each place the end
+    of its string. Places of equal `order` are the same place and don't count as earlier. The
+    suffix array comes from prefix doubling. In suffix order the nearest entry on either side
+    with a smaller order shares the longest prefix that any earlier place shares.
     """
     n = len(values)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     ranks = suffix_ranks(values, ends, limit)
-    suffix = np.lexsort((order, ranks[-1][1]))
+    suffix = np.lexsort((order, ranks[-1][1])).astype(np.int32)
     key = order[suffix]
-    best = np.zeros(n, np.int64)
-    for near in (_nearest_smaller(key), n - 1 - _nearest_smaller(key[::-1])[::-1]):
-        there = (near >= 0) & (near < n)
-        a, b = suffix[there], suffix[near[there]]
-        best[a] = np.maximum(best[a], _common(ranks, ends, a, b, limit))
+    best = np.zeros(n, np.int32)
+    for back in (False, True):
+        near = _nearest_smaller(key[::-1] if back else key)
+        if back:
+            near = n - 1 - near[::-1]
+        for i in range(0, n, _PREFIXES):
+            part = near[i : i + _PREFIXES]
+            there = np.flatnonzero((part >= 0) & (part < n))
+            a, b = suffix[i + there], suffix[part[there]]
+            best[a] = np.maximum(best[a], _common(ranks, ends, a, b, limit))
     return best
 
 
 def _nearest_smaller(key: np.ndarray) -> np.ndarray:
     """Nearest index to the left with a smaller key, or -1, by pointer jumping."""
-    near = np.arange(len(key)) - 1
-    open_ = np.flatnonzero((near >= 0) & (key[near] >= key))
+    near = np.arange(-1, len(key) - 1, dtype=np.int32)
+    open_ = np.flatnonzero((near >= 0) & (key[near] >= key)).astype(np.int32)
     while len(open_):
         near[open_] = near[near[open_]]
         at = near[open_]
@@ -203,13 +223,13 @@ def _nearest_smaller(key: np.ndarray) -> np.ndarray:
 
 def _common(ranks, ends: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Length of the common prefix of places a and b, up to limit, from the ranks of doubled lengths."""
-    length = np.zeros(len(a), np.int64)
+    length = np.zeros(len(a), np.int32)
     last = len(ends) - 1
     for size, rank in reversed(ranks):
         x, y = a + length, b + length
         room = (x + size <= ends[a]) & (y + size <= ends[b]) & (length + size <= limit)
         same = room & (rank[np.minimum(x, last)] == rank[np.minimum(y, last)])
-        length += np.where(same, size, 0)
+        length += np.where(same, size, 0).astype(np.int32)
     return length
 
 
@@ -234,40 +254,42 @@ def _runs(mask: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, np.flatnonzero(mask & cut) + 1
 
 
-#: Words of segments whose groups are sorted together.
-_SORT_WORDS = 1 << 20
+#: Words of segments whose groups are sorted together; a larger group is sorted alone.
+_SORT_WORDS = 1 << 18
 
 
 def _compare(min_words: int):
-    def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(tables).combine_chunks()
+    def solve(held: list[tuple[pa.RecordBatch, int, int]]) -> pa.RecordBatch:
+        t = pa.Table.from_batches([batch.slice(a, b - a) for batch, a, b in held])
+        held.clear()
         anchor, doc, at = (t.column(i).to_numpy().astype(np.int64) for i in range(3))
-        blobs = t.column(3).to_pylist()
-        sizes = np.array([len(b) for b in blobs], np.int64) // 8
-        raw = np.frombuffer(b"".join(blobs), dtype=np.uint64)
-        string = np.repeat(np.arange(len(sizes)), sizes)
-        heads = np.cumsum(sizes) - sizes
-        inner = np.arange(len(raw)) - heads[string]
-        word = at[string] + inner
-        ends = (heads + sizes)[string]
+        data, offsets = text_buffers(t.column(3))
+        del t
+        raw, heads = data.view(np.uint64), (offsets // 8).astype(np.int32)
+        sizes = np.diff(heads)
+        string = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        ends = heads[1:][string]
+        shift = at - heads[:-1]  # from a place to the word number in its text
         # a word counts as equal only inside its own anchor's group
-        _, group = np.unique(anchor, return_inverse=True)
-        _, symbol = np.unique(raw, return_inverse=True)
-        values = symbol.astype(np.int64) * (len(anchor) + 1) + group[string]
-        places = np.lexsort((word, doc[string]))
-        later = np.ones(len(places), bool)
-        later[:1] = False
-        later[1:] = (doc[string][places[1:]] != doc[string][places[:-1]]) | (word[places[1:]] != word[places[:-1]])
-        order = np.empty(len(places), np.int64)
-        order[places] = np.cumsum(later)
+        values = _dense(raw).astype(np.int64)
+        values *= len(anchor) + 1
+        values += _dense(anchor)[string]
+        values = _dense(values)
+        # places by (doc_id, word number); a word number is below 2**31
+        keys = (_dense(doc).astype(np.int64) << 32)[string]
+        keys += shift[string]
+        keys += np.arange(len(raw), dtype=np.int32)
+        order = _dense(keys)
+        del keys
         factor = longest_previous_factors(values, ends, order, min_words)
         start = np.flatnonzero(factor >= min_words)
         mask = _covered(len(raw), start, factor[start])
         low, high = _runs(mask, string)
+        owner = string[low]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(doc[string[low]]),
-                pa.array(word[low].astype(np.int32)),
+                pa.array(doc[owner]),
+                pa.array((shift[owner] + low).astype(np.int32)),
                 pa.array((high - low).astype(np.int32)),
                 pa.array(run_hashes(raw, low, high).view(np.int64)),
             ],
@@ -289,8 +311,10 @@ def _compare(min_words: int):
         return pa.RecordBatch.from_arrays(out, names=["doc_id", "at", "n", "hash"]), (int(key[-1]), int(first_doc[-1]), int(first_at[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, last, before = 0, None, None
+        held: list[tuple[pa.RecordBatch, int, int]] = []  # rows of whole groups
+        group: list[tuple[pa.RecordBatch, int, int]] = []  # rows so far of the last group
+        held_words = group_words = 0
+        last, before = None, None
         for batch in batches:  # sorted by anchor, doc_id and place
             bare = batch.column(3).is_null()
             if bare.true_count:
@@ -300,14 +324,20 @@ def _compare(min_words: int):
             anchor = batch.column(0).to_numpy()
             if not len(anchor):
                 continue
-            cuts = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(anchor)]):
-                if size >= _SORT_WORDS and anchor[a] != last:
+            words = text_buffers(batch.column(3))[1] // 8
+            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]
+            for a, b, n in zip(cuts, cuts[1:], np.diff(words[cuts]).tolist()):
+                if anchor[a] != last:
+                    held += group
+                    held_words += group_words
+                    group, group_words, last = [], 0, anchor[a]
+                if held and held_words + group_words + n > _SORT_WORDS:
                     yield solve(held)
-                    held, size = [], 0
-                held.append(batch.slice(a, b - a))
-                size += batch.column(3).slice(a, b - a).nbytes // 8
-                last = anchor[a]
+                    held_words = 0
+                group.append((batch, a, b))
+                group_words += n
+        held += group
+        group = []
         if held:
             yield solve(held)
         release()
