@@ -26,6 +26,11 @@ def tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "v2-composed") ->
     return vocab.tokenize(documents(spark, sf_dir), tokenizer)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> vocab.Texts:
+    """The corpus as `tokens` cuts it by default, for what counts or encodes it."""
+    return vocab.Texts(documents(spark, sf_dir))
+
+
 @dataclass(frozen=True)
 class Encoded:
     """Encoded documents (doc_id, ids), their vocabulary (id, token, df, tf) and its size, which is the id of unknown tokens."""
@@ -44,7 +49,7 @@ def settled(frame: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
     return frame, frame.count()
 
 
-def encode(toks: DataFrame, keep_n: int | None = 50_000, **options) -> Encoded:
+def encode(toks: DataFrame | vocab.Texts, keep_n: int | None = 50_000, **options) -> Encoded:
     """The corpus and its vocabulary; the ids are written once."""
     words, size = settled(vocab.build(toks, keep_n=keep_n, **options), keep_n)
     return Encoded(shared.save(vocab.encode(toks, words, size), "ids"), words, size)

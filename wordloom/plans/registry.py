@@ -102,22 +102,22 @@ def _file_sample(spark, sf_dir):
 
 @_query("vocab_df_tf", O.query(O.tok(), O.STATS, select="SELECT * FROM stats"))
 def _vocab_df_tf(spark, sf_dir):
-    return vocab.token_stats(base.tokens(spark, sf_dir))
+    return vocab.token_stats(base.texts(spark, sf_dir))
 
 
 @_query("vocab_top_n", O.query(O.tok(), O.STATS, O.vocab(KEEP_N), select="SELECT token, df FROM vocab"))
 def _vocab_top_n(spark, sf_dir):
-    return vocab.cut(vocab.token_stats(base.tokens(spark, sf_dir)), 1 << 62, keep_n=KEEP_N).select("token", "df")
+    return vocab.cut(vocab.token_stats(base.texts(spark, sf_dir)), 1 << 62, keep_n=KEEP_N).select("token", "df")
 
 
 @_query("vocab_ids", O.query(O.tok(), O.STATS, O.vocab(5000), select="SELECT id, token, df, tf FROM vocab"))
 def _vocab_ids(spark, sf_dir):
-    return vocab.build(base.tokens(spark, sf_dir), keep_n=5000)
+    return vocab.build(base.texts(spark, sf_dir), keep_n=5000)
 
 
 @_query("vocab_no_below_above", O.query(O.tok(), O.STATS, O.vocab(1000, "df BETWEEN 3 AND (SELECT floor(0.3 * count(*)) FROM documents)"), select="SELECT id, token, df, tf FROM vocab"))
 def _vocab_no_below_above(spark, sf_dir):
-    return vocab.build(base.tokens(spark, sf_dir), no_below=3, no_above=0.3, keep_n=1000)
+    return vocab.build(base.texts(spark, sf_dir), no_below=3, no_above=0.3, keep_n=1000)
 
 
 _KEPT = ("the", "der", "que")
@@ -125,8 +125,8 @@ _KEPT = ("the", "der", "que")
 
 @_query("vocab_keep_tokens", O.query(O.tok(), O.STATS, O.vocab(200, f"df BETWEEN 20 AND 60 OR token IN {_KEPT}", f"CASE WHEN token IN {_KEPT} THEN (SELECT count(*) FROM documents) ELSE df END"), select="SELECT id, token, df, tf FROM vocab"))
 def _vocab_keep_tokens(spark, sf_dir):
-    toks = base.tokens(spark, sf_dir)
-    n = toks.count()
+    toks = base.texts(spark, sf_dir)
+    n = toks.docs.count()
     return vocab.build(toks, no_below=20, no_above=(60.5 / n), keep_n=200, keep_tokens=_KEPT, num_docs=n)
 
 
@@ -138,20 +138,20 @@ def _vocab_keep_tokens(spark, sf_dir):
 )
 def _vocab_merge(spark, sf_dir):
     docs = vocab.spread(table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", "text"))
-    stats = vocab.token_stats(docs.select("file", "doc_id", X.composed_tokens_v2(F.col("text")).alias("tokens")), "file")
+    stats = vocab.token_stats(vocab.Texts(docs), "file")
     return vocab.merge(stats)
 
 
 @_query("encode_unk", O.query(O.encoded(KEEP_N), select="SELECT doc_id, pos::INT AS pos, id FROM ids"))
 def _encode_unk(spark, sf_dir):
-    toks = base.tokens(spark, sf_dir)
+    toks = base.texts(spark, sf_dir)
     words, size = base.settled(vocab.build(toks, keep_n=KEEP_N), KEEP_N)
     return vocab.encode_long(toks, words, size)
 
 
 @_query("token_counts_unk", O.query(O.encoded(KEEP_N), select="SELECT id, count(*) AS n FROM ids GROUP BY id"))
 def _token_counts_unk(spark, sf_dir):
-    return vocab.token_counts(base.encode(base.tokens(spark, sf_dir), KEEP_N).ids)
+    return vocab.token_counts(base.encode(base.texts(spark, sf_dir), KEEP_N).ids)
 
 
 @_query("corpus_size", O.query(O.tok(), select="SELECT count(*) AS documents, sum(len(tokens))::BIGINT AS tokens FROM tok"))
@@ -167,7 +167,8 @@ def _pairs(name: str, params: PairParams, *ctes: str) -> None:
 
     @_query(name, oracle)
     def run(spark, sf_dir, params=params):
-        return rounded(base.cells(base.encode(base.tokens(spark, sf_dir), KEEP_N), params), "n")
+        enc = base.encode(base.texts(spark, sf_dir), KEEP_N)
+        return rounded(cooc.count_pairs(enc.ids, enc.size, params), "n")  # read once, so not written before
 
 
 _F = 5e-3  # a subsampling factor that takes effect on small corpora
@@ -186,13 +187,13 @@ _pairs("pairs_min_count", PairParams(min_count=5), O.slots(), O.pairs(2), O.scal
 
 @_query("subsample_keep", O.query(O.encoded(KEEP_N), O.KEEP.format(factor=_F), select="SELECT id, round(p, 9) AS p FROM keep"))
 def _subsample_keep(spark, sf_dir):
-    counts = vocab.token_counts(base.encode(base.tokens(spark, sf_dir), KEEP_N).ids)
+    counts = vocab.token_counts(base.encode(base.texts(spark, sf_dir), KEEP_N).ids)
     return rounded(cooc.keep_factors(counts, _F), "p", digits=9)
 
 
 @_query("pair_sparsity", O.query(O.encoded(KEEP_N), O.slots(), O.pairs(2), select="SELECT count(*) AS cells, round(count(*) / pow(v + 1, 2), 9) AS share FROM raw, size GROUP BY v"))
 def _pair_sparsity(spark, sf_dir):
-    enc = base.encode(base.tokens(spark, sf_dir), KEEP_N)
+    enc = base.encode(base.texts(spark, sf_dir), KEEP_N)
     return rounded(cooc.sparsity(base.cells(enc, PairParams(subsample=None)), enc.size), "share", digits=9)
 
 
@@ -212,7 +213,7 @@ def _pairs_baskets(spark, sf_dir):
 
 
 def _counted(spark, sf_dir, keep_n=KEEP_N):
-    enc = base.encode(base.tokens(spark, sf_dir), keep_n)
+    enc = base.encode(base.texts(spark, sf_dir), keep_n)
     return enc, base.cells(enc, PairParams())
 
 
@@ -236,7 +237,7 @@ _epmi("epmi_cds1", 1)
 def _sppmi(name: str, neg: float, normalize: bool) -> None:
     @_query(name, O.query(O.matrix(KEEP_N, neg=neg), select=f"SELECT w, c, round(x, 6) AS x FROM {'un' if normalize else 'sp'}"))
     def run(spark, sf_dir):
-        return rounded(base.sppmi(base.encode(base.tokens(spark, sf_dir), KEEP_N), PairParams(), neg=neg, normalize=normalize), "x")
+        return rounded(base.sppmi(base.encode(base.texts(spark, sf_dir), KEEP_N), PairParams(), neg=neg, normalize=normalize), "x")
 
 
 _sppmi("sppmi_neg1", 1, False)
@@ -248,7 +249,7 @@ _sppmi("sppmi_norm", 1, True)
 
 
 def _small(spark, sf_dir):
-    enc = base.encode(base.tokens(spark, sf_dir), SMALL_N)
+    enc = base.encode(base.texts(spark, sf_dir), SMALL_N)
     return enc, shared.save(base.sppmi(enc, PairParams()), "matrix")
 
 
@@ -551,7 +552,7 @@ def _eval_category(spark, sf_dir):
     ),
 )
 def _coverage(spark, sf_dir):
-    words, size = base.settled(vocab.build(base.tokens(spark, sf_dir), keep_n=KEEP_N), KEEP_N)
+    words, size = base.settled(vocab.build(base.texts(spark, sf_dir), keep_n=KEEP_N), KEEP_N)
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), F.col("item_id")).alias("name"), F.posexplode(X.composed_tokens_v2(F.col("text"))).alias("line", "word"))
     return rounded(evaluate.coverage(items, "category", words, "v2-composed", size), "coverage")
 
@@ -703,7 +704,7 @@ def _neighbour_overlap(spark, sf_dir):
 
 
 def _factors(spark, sf_dir, dim: int = 50, impl: str = "scipy"):
-    enc = base.encode(base.tokens(spark, sf_dir), SMALL_N)
+    enc = base.encode(base.texts(spark, sf_dir), SMALL_N)
     return enc, factor.svd(base.sppmi(enc, PairParams(), normalize=False), enc.size + 1, dim, impl)
 
 
@@ -745,7 +746,7 @@ def _svd_neighbours(spark, sf_dir):
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest words of every word of the vocabulary, from raw documents."""
-    enc = base.encode(base.tokens(spark, sf_dir), KEEP_N)
+    enc = base.encode(base.texts(spark, sf_dir), KEEP_N)
     matrix = shared.save(base.sppmi(enc, PairParams()), "matrix")
     words = enc.vocab.select(F.col("id").alias("q"), F.col("id").alias("word"))
     found = search.sparse_most_similar(matrix, words, 10, 6)
