@@ -17,6 +17,7 @@ from wordloom.functions import vectors as V
 from wordloom.functions.text import Tokenizer, to_item, tokenizer
 from wordloom.operators import ppmi, search
 from wordloom.operators.vocab import BROADCAST_ROWS
+from wordloom.sources import shared
 
 #: Word columns of each kind of gold table.
 KINDS: dict[str, tuple[str, ...]] = {
@@ -167,6 +168,31 @@ def eval_synonyms(embedding: Embedding, gold: DataFrame, vocab: DataFrame, token
     return _report(_totals(gold), scored, first_claims(fair, "target_id", "options"))
 
 
+def _nearest(embedding: Embedding, entries: DataFrame) -> DataFrame:
+    """(name, id, category, n, other_category): of each entry (name, id, place, category, n) the most similar other one of its dataset, ties by place."""
+    other = entries.select("name", F.col("id").alias("other"), F.col("place").alias("other_place"), F.col("category").alias("other_category"))
+    score = F.round("similarity", embedding.digits) if embedding.digits is not None else F.col("similarity")
+    if embedding.dense:
+        table = embedding.table
+        dim = embedding.dim or (table.select(F.size("vec")).first() or [1])[0]
+        entries = shared.save(entries.select("name", "id", "place", "category", "n"), "entries")
+        held = entries.join(table.select("id", "vec"), "id", "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)))
+        found = None
+        for (name,) in entries.select("name").distinct().collect():
+            own = held.where(F.col("name") == name)
+            asked = own.select(F.col("place").alias("q"), F.lit(1).alias("sign"), F.col("vec").alias("qvec"))
+            part = search.dense_best(own.select(F.col("place").alias("id"), "vec"), asked, 1, dim, include_self=False, digits=embedding.digits)
+            part = part.select(F.lit(name).alias("name"), F.col("q").alias("place"), F.col("id").alias("other_place"), F.col("score").alias("similarity"))
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            return entries.select("name", "id", "category", "n", F.col("category").alias("other_category"))
+        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("name", "place").orderBy(score.desc(), "other_place"))).where("r = 1")
+        return ranked.join(entries, ["name", "place"]).join(other.select("name", "other_place", "other_category"), ["name", "other_place"])
+    pairs = entries.join(other, "name").where("id <> other")
+    near = similarities(embedding, pairs.select("*", F.col("id").alias("a"), F.col("other").alias("b")))
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("name", "id").orderBy(score.desc(), "other_place"))).where("r = 1")
+
+
 def eval_categories(embedding: Embedding, gold: DataFrame, vocab: DataFrame, tokenize: str | Tokenizer = "v2", size: int | None = None) -> DataFrame:
     """Share of words whose nearest other word of the dataset is of their category, with the chance level `baseline`.
 
@@ -177,11 +203,7 @@ def eval_categories(embedding: Embedding, gold: DataFrame, vocab: DataFrame, tok
     entries = found.groupBy("name", "ord", F.col("word_id").alias("id")).agg(F.min("line").alias("place"), F.max_by("category", "line").alias("category"))
     enough = entries.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("category").alias("k")).where("n >= 2 AND k >= 2")
     entries = entries.join(enough.select("name", "n"), "name")
-    a, b = entries.select("name", "id", "place", "category", "n"), entries.select("name", F.col("id").alias("other"), F.col("place").alias("other_place"), F.col("category").alias("other_category"))
-    pairs = a.join(b, "name").where("id <> other")
-    near = similarities(embedding, pairs.select("*", F.col("id").alias("a"), F.col("other").alias("b")))
-    score = F.round("similarity", embedding.digits) if embedding.digits is not None else F.col("similarity")
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("name", "id").orderBy(score.desc(), "other_place"))).where("r = 1")
+    ranked = _nearest(embedding, entries)
     purity = ranked.groupBy("name").agg(F.avg((F.col("category") == F.col("other_category")).cast("double")).alias("score"), F.max("n").alias("n"))
     sizes = entries.groupBy("name", "category", "n").agg(F.count("*").alias("s"))
     base = sizes.groupBy("name").agg((F.sum(F.col("s") * (F.col("s") - 1)) / F.max(F.col("n") * (F.col("n") - 1))).alias("baseline"))

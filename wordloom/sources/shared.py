@@ -9,7 +9,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -35,8 +37,30 @@ def folder(spark: SparkSession) -> str:
     return _roots[app]
 
 
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df and return the written table."""
+def write(df: DataFrame, name: str = "t") -> str:
+    """Write df and return where, for `batches`."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def save(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write df and return the written table."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+
+
+def batches(path: str, rows: int, columns: list[str] | None = None) -> Iterator[pa.Table]:
+    """The table that `write` has written, in a Python worker: in pieces of about `rows` rows, of which few are held at once."""
+    from pyarrow import dataset, fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    system, at = fs.FileSystem.from_uri(path)
+    held: list[pa.RecordBatch] = []
+    for b in dataset.dataset(at, format="parquet", filesystem=system).to_batches(columns=columns, batch_size=rows, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        held.append(b)
+        if sum(h.num_rows for h in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
