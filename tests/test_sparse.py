@@ -49,3 +49,18 @@ def test_no_block_is_sent_to_every_other(spark, table):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.lower()
     assert {r.q for r in found.where("rank = 1").collect()} == {w for w in range(60) if w not in (7, 30)}
+
+
+def test_svd_products_go_row_by_row(spark):
+    """Cells in any order, some given twice, more files than rows of a file; the plan of a product starts from a range of tasks, not from the cells."""
+    from wordloom.operators import factor
+
+    rng = np.random.default_rng(2)
+    m = np.where(rng.random((50, 50)) < 0.3, rng.standard_normal((50, 50)), 0)
+    rows = [(i, j, float(m[i, j]) / 2) for i, j in zip(*(x.tolist() for x in m.nonzero()))] * 2
+    cells = factor.Cells(spark.createDataFrame(rows, "w int, c int, x double").repartition(5))
+    q = rng.standard_normal((50, 7))
+    assert factor._times(cells, q) == pytest.approx(m.T @ (m @ q))
+    assert factor.gramian(cells, 50) == pytest.approx(m.T @ m)
+    u = {r.w: r.u for r in factor._left(cells, q, np.ones(7)).collect()}
+    assert np.array([u.get(i, [0] * 7) for i in range(50)]) == pytest.approx(m @ q)

@@ -1,6 +1,6 @@
 """Truncated singular value decomposition of a sparse table (w, c, x) and embeddings from it.
 
-Rows are regrouped once by w. The exact route sums each partition's Gramian and takes its
+Cells are written once in files of whole rows, which the tasks read. The exact route sums each partition's Gramian and takes its
 eigenvectors on the driver, for up to `EXACT_COLUMNS` columns; beyond them a block Krylov space is
 grown until residuals are small. The randomized route is subspace iteration. Both move blocks of
 n x (dim + oversampling) numbers only; the Krylov space holds up to eight of them on the driver. Partial sums are reduced
@@ -9,12 +9,11 @@ in stripes on the executors, so the driver gets one matrix, whatever the number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,30 +57,6 @@ def negligible(s: np.ndarray, n: int) -> np.ndarray:
     return s > (s.max(initial=0.0) * n * np.finfo(np.float32).eps)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(w, c, x) of whole rows, about _BATCH cells at once, of rows (w, c, x) with lists of columns and values."""
-    for b in batches:
-        sizes = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-        stops = np.cumsum(sizes)
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(stops, stops[at] - sizes[at] + _BATCH, side="right")))
-            part = b.slice(at, to - at)
-            yield np.repeat(part.column(0).to_numpy(), sizes[at:to]), part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
-            at = to
-
-
-def _dense(w: np.ndarray, c: np.ndarray, x: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """The rows of a block as dense slices."""
-    rows, at = np.unique(w, return_inverse=True)
-    per = max(1, _BATCH * 16 // n)
-    for s in range(0, len(rows), per):
-        inside = (at >= s) & (at < s + per)
-        out = np.zeros((min(per, len(rows) - s), n))
-        out[at[inside] - s, c[inside]] = x[inside]
-        yield out
-
-
 def _stripes(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     for s in range(0, len(total), _STRIPE):
         part = total[s : s + _STRIPE]
@@ -103,64 +78,94 @@ def _gather(parts: DataFrame, n: int, width: int) -> np.ndarray:
     return out
 
 
-def gramian(grouped: DataFrame, n: int) -> np.ndarray:
-    """A'A of rows grouped by w."""
+class Cells:
+    """A matrix that is written as files of whole rows, their cells in order; each task of a product reads its share of the files."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.spark = rows.sparkSession
+        self.tasks = self.spark.sparkContext.defaultParallelism
+        self.path = shared.write(rows.select("w", "c", "x").repartition(2 * self.tasks, "w").sortWithinPartitions("w", "c"), "rows")
+
+    def map(self, run: Callable[[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """The results of `run` for each task's files; run gets (c, x, first cell of each row and the end, word of each row) of one file after the other."""
+        path, tasks = self.path, self.tasks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def files(mine: list[int]) -> Iterator[tuple]:
+            for table in shared.files(path, mine, tasks):
+                w, c, x = (table[k].to_numpy() for k in ("w", "c", "x"))
+                new = np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
+                if not new.all():  # cells that are given twice add up
+                    x = np.add.reduceat(x, np.flatnonzero(new))
+                    w, c = w[new], c[new]
+                heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                yield c, x, np.append(heads, len(w)), w[heads]
+
+        def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(files([i for b in batches for i in b.column(0).to_pylist()]))
+
+        return self.spark.range(0, tasks, 1, tasks).mapInArrow(start, schema)
+
+
+def gramian(cells: Cells, n: int) -> np.ndarray:
+    """A'A."""
+
+    def run(files: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         total, some = np.zeros((n, n)), False
-        for block in _blocks(batches):
-            for dense in _dense(*block, n):
+        per = max(1, _BATCH * 16 // n)
+        for c, x, ends, w in files:
+            some = True
+            for s in range(0, len(w), per):
+                part = ends[s : s + per + 1]
+                dense = np.zeros((len(part) - 1, n))
+                dense[np.repeat(np.arange(len(part) - 1), np.diff(part)), c[part[0] : part[-1]]] = x[part[0] : part[-1]]
                 total += dense.T @ dense
-                some = True
         if some:
             yield from _stripes(total)
 
-    return _gather(grouped.mapInArrow(run, "stripe int, data binary"), n, n)
+    return _gather(cells.map(run, "stripe int, data binary"), n, n)
 
 
-def _times(grouped: DataFrame, q: np.ndarray) -> np.ndarray:
-    """A'(A q)."""
+def _times(cells: Cells, q: np.ndarray) -> np.ndarray:
+    """A'(A q), row by row, so that what is gathered for a row stays in the cache; a task's sum leaves it once."""
     n, width = q.shape
-    sent = grouped.sparkSession.sparkContext.broadcast(q)
+    sent = cells.spark.sparkContext.broadcast(q)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(files: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         q, total, some = sent.value, np.zeros((n, width)), False
-        for w, c, x in _blocks(batches):
-            heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            product = np.add.reduceat(q[c] * x[:, None], heads)
-            row = np.repeat(np.arange(len(heads)), np.diff(np.concatenate([heads, [len(w)]])))
-            order = np.argsort(c, kind="stable")
-            firsts = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
-            total[c[order][firsts]] += np.add.reduceat(product[row[order]] * x[order][:, None], firsts)
+        for c, x, ends, _ in files:
             some = True
+            ends = ends.tolist()
+            for a, b in zip(ends, ends[1:]):
+                at, y = c[a:b], x[a:b]
+                total[at] += np.multiply.outer(y, y @ q[at])
         if some:
             yield from _stripes(total)
 
-    out = _gather(grouped.mapInArrow(run, "stripe int, data binary"), n, width)
+    out = _gather(cells.map(run, "stripe int, data binary"), n, width)
     sent.unpersist()
     return out
 
 
-def _left(grouped: DataFrame, v: np.ndarray, s: np.ndarray) -> DataFrame:
+def _left(cells: Cells, v: np.ndarray, s: np.ndarray) -> DataFrame:
     """(w, u): rows of A v / s."""
-    sent = grouped.sparkSession.sparkContext.broadcast(v / s)
+    sent = cells.spark.sparkContext.broadcast(v / s)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, c, x in _blocks(batches):
-            heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            u = np.add.reduceat(sent.value[c] * x[:, None], heads)
+    def run(files: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for c, x, ends, w in files:
+            ends = ends.tolist()
+            u = np.array([x[a:b] @ sent.value[c[a:b]] for a, b in zip(ends, ends[1:])])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * u.shape[1]), pa.array(u.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(w[heads].astype(np.int32)), flat], names=["w", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), flat], names=["w", "u"])
 
-    return grouped.mapInArrow(run, "w int, u array<double>")
+    return cells.map(run, "w int, u array<double>")
 
 
-def _converged(grouped: DataFrame, n: int, dim: int, width: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _converged(cells: Cells, n: int, dim: int, width: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The dim largest eigenvalues of A'A and their vectors, by a block Krylov space that is restarted with the best half of it; raises if TOLERANCE isn't reached in `most` products."""
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))
-    aq = _times(grouped, q)
+    aq = _times(cells, q)
+    small = q.T @ aq
     for product in range(1, most + 1):
-        small = q.T @ aq
         values, z = np.linalg.eigh((small + small.T) / 2)
         values, z = values[::-1], z[:, ::-1]
         x = q @ z[:, :width]
@@ -171,11 +176,14 @@ def _converged(grouped: DataFrame, n: int, dim: int, width: int, most: int, seed
         if product == most:
             break
         if q.shape[1] + width > 4 * width:
-            q, aq = q @ z[:, : 2 * width], aq @ z[:, : 2 * width]
+            q, aq, small = q @ z[:, : 2 * width], aq @ z[:, : 2 * width], np.diag(values[: 2 * width])
         rest = rest[:, : n - q.shape[1]]
         for _ in range(2):
             rest, _ = np.linalg.qr(rest - q @ (q.T @ rest))
-        q, aq = np.hstack([q, rest]), np.hstack([aq, _times(grouped, rest)])
+        new = _times(cells, rest)
+        side = q.T @ new  # only the products with the new block are missing
+        small = np.block([[small, side], [side.T, rest.T @ new]])
+        q, aq = np.hstack([q, rest]), np.hstack([aq, new])
     raise ArithmeticError(f"no convergence in {most} products: the largest residual is {worst / values[0]:.1e} of the largest squared singular value, {TOLERANCE:.0e} is allowed")
 
 
@@ -190,31 +198,29 @@ def svd(matrix: DataFrame, n: int, dim: int = 500, impl: str = "scipy", n_iter:
         raise ValueError(f"impl is {impl!r}; it can be {IMPLS}")
     dim = clamp(dim, n)
     rows = matrix.select(F.col("w").cast("int").alias("w"), F.col("c").cast("int").alias("c"), F.col("x").cast("double").alias("x")).where("x <> 0")
-    # one row a word, so that the written table can be split anywhere; a row has n cells at most
-    cells = F.array_sort(F.collect_list(F.struct("c", "x")))
-    grouped = shared.save(rows.groupBy("w").agg(cells.alias("cells")).select("w", "cells.c", "cells.x"), "rows")
-    if grouped.isEmpty():
+    cells = Cells(rows)
+    if not shared.read(rows, cells.path).take(1):
         raise ValueError("the matrix has no entries")
     if impl == "scipy" and n <= EXACT_COLUMNS:
-        values, vectors = np.linalg.eigh(gramian(grouped, n))
+        values, vectors = np.linalg.eigh(gramian(cells, n))
         order = np.argsort(-values)[:dim]
         s2, v = values[order], vectors[:, order]
     elif impl == "scipy":
         width = min(n, dim + (oversample if oversample is not None else 50))
-        s2, v = _converged(grouped, n, dim, width, n_iter if n_iter is not None else MOST_PRODUCTS, seed)
+        s2, v = _converged(cells, n, dim, width, n_iter if n_iter is not None else MOST_PRODUCTS, seed)
     else:
         width = min(n, dim + (oversample if oversample is not None else 10))
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))
         for _ in range(n_iter if n_iter is not None else 5):
-            q, _ = np.linalg.qr(_times(grouped, q))
-        small = q.T @ _times(grouped, q)
+            q, _ = np.linalg.qr(_times(cells, q))
+        small = q.T @ _times(cells, q)
         values, vectors = np.linalg.eigh((small + small.T) / 2)
         order = np.argsort(-values)[:dim]
         s2, v = values[order], q @ vectors[:, order]
     s = np.sqrt(np.maximum(s2, 0))
     kept = negligible(s, n)
     s, v = s[kept], v[:, kept]
-    return Factors(_left(grouped, v, s), s, v)
+    return Factors(_left(cells, v, s), s, v)
 
 
 def embed(factors: Factors, eig: float = 0.0, add_context: bool = False, normalize: bool = True) -> DataFrame:

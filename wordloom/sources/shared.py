@@ -46,7 +46,12 @@ def write(df: DataFrame, name: str = "t") -> str:
 
 def save(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df and return the written table."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+    return read(df, write(df, name))
+
+
+def read(df: DataFrame, path: str) -> DataFrame:
+    """What `write` has written of df."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _dataset(path: str):
@@ -58,9 +63,11 @@ def _dataset(path: str):
     return dataset.dataset(at, format="parquet", filesystem=system)
 
 
-def files(path: str) -> Iterator[pa.Table]:
-    """The table that `write` has written, in a Python worker: one file after the other; each has one partition of the table, in its order."""
-    for fragment in _dataset(path).get_fragments():
+def files(path: str, shares: list[int] | None = None, of: int = 1) -> Iterator[pa.Table]:
+    """The table that `write` has written, in a Python worker: one file after the other; each has one partition of the table, in its order. With `shares` only those files whose number, modulo `of`, is among them."""
+    for i, fragment in enumerate(sorted(_dataset(path).get_fragments(), key=lambda f: f.path)):
+        if shares is not None and i % of not in shares:
+            continue
         table = fragment.to_table(use_threads=False)
         if table.num_rows:
             yield table
